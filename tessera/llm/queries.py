@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_examples, line_rules, mixture
+from . import chat_examples, line_rules, mixture, pii, simhash, toxicity
 from .common import table
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "keep")
+
+
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(table(spark, sf_dir, "documents"))
 
@@ -22,8 +30,19 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_line_rules": _op4, "op5_prefix_target": _op5, "op7_mixture": _op7}
+    return {
+        "op2_simhash": _op2,
+        "op3_pii": _op3,
+        "op4_line_rules": _op4,
+        "op5_prefix_target": _op5,
+        "op7_mixture": _op7,
+        "op10_toxicity": _op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_examples, line_rules, mixture, pii, simhash, toxicity
+from . import chat_examples, hmm, line_rules, mixture, pii, simhash, toxicity
 from .common import table
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "keep")
 
@@ -36,6 +40,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hmm": _op1,
         "op2_simhash": _op2,
         "op3_pii": _op3,
         "op4_line_rules": _op4,

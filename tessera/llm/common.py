@@ -8,7 +8,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -143,3 +143,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, words in scan(batch.column(1)):
+            n = pa.array(np.diff(words.first))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, blobs(words.hash.astype(np.uint32), words.first)], names=["doc_id", "n_words", "words"])
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words and words (uint32 hashes) of every row, in the shared folder."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return stored(docs.select("doc_id", "text").mapInArrow(_word_rows, f"doc_id {kind}, n_words long, words binary"), "words")
+
+
+def summed(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, block: int = 1 << 16) -> np.ndarray:
+    """Sum over all tasks of the float32 vector of `size` that partial() makes of a task's batches.
+
+    Vectors travel in blocks and are added up in double precision where equal blocks meet; only the sum reaches the driver.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = partial(batches)
+        for b in range(0, size, block):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([total[b : b + block].astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), dtype=np.float32).astype(np.float64) for x in table.column("sums"))
+        return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    parts = rows.mapInArrow(send, "block long, sums binary").groupBy("block").applyInArrow(add, "block long, sums binary")
+    found = {r.block: np.frombuffer(bytes(r.sums)) for r in parts.collect()}
+    return np.concatenate([found[b] for b in sorted(found)]) if found else np.zeros(size)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, mix, scan, stored, unblob, within
+from .common import mix, tokenised, unblob, within
 
 STATES = 8
 ITERATIONS = 3
@@ -143,19 +143,6 @@ def initial(states: int, buckets: int) -> Model:
     return Model(np.full(states, 1 / states), a, e / e.sum(axis=0))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, words in scan(batch.column(1)):
-            n = pa.array(np.diff(words.first))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, blobs(words.hash.astype(np.uint32), words.first)], names=["doc_id", "n_words", "words"])
-
-
-def tokenised(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and words (uint32 hashes) of every row, in the shared folder."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(docs.select("doc_id", "text").mapInArrow(_words, f"doc_id {kind}, n_words long, words binary"), "words")
-
-
 def iterate(words: DataFrame, m: Model) -> tuple[Model, float]:
     """One Baum-Welch iteration over all words: the next model, and the log-likelihood under m."""
     spark = words.sparkSession

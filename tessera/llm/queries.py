@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_examples, hmm, line_rules, mixture, pii, simhash, toxicity
+from . import chat_examples, hmm, line_rules, lsa, mixture, pii, simhash, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_examples.prefix_target_examples(table(spark, sf_dir, "conversations"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": _op3,
         "op4_line_rules": _op4,
         "op5_prefix_target": _op5,
+        "op6_lsa": _op6,
         "op7_mixture": _op7,
         "op10_toxicity": _op10,
     }

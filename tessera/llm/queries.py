@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_examples, hmm, line_rules, lsa, mixture, pii, quality, simhash, toxicity
+from . import chat_examples, hmm, line_rules, lsa, mixture, pii, quality, simhash, suffixes, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_prefix_target": _op5,
         "op6_lsa": _op6,
         "op7_mixture": _op7,
+        "op8_suffixes": _op8,
         "op9_quality": _op9,
         "op10_toxicity": _op10,
     }

@@ -81,7 +81,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = pa.py_buffer(np.ascontiguousarray(fp))
             binary = pa.Array.from_buffers(pa.binary(BITS // 8), hi - lo, [None, flat]).cast(pa.binary())
             mask = pa.array(counts > 0)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pc.if_else(mask, binary, pa.scalar(None, pa.binary()))], names=["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pc.if_else(mask, binary, pa.scalar(None, pa.binary()))], names=["doc_id", "row_key", "fp"])
 
 
 def shape(n: int) -> tuple[int, int]:
@@ -227,14 +227,14 @@ def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_hash, group_id (smallest doc_id of the group), group_size and keep (one row in each group)."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_fingerprint, "doc_id long, text_hash long, fp binary")
+    """doc_id, row_key (hash of doc_id and text), group_id (smallest doc_id of the group), group_size and keep (one row in each group)."""
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_fingerprint, "doc_id long, row_key long, fp binary")
     rows = stored(rows, "fingerprints").withColumn("node", F.xxhash64("fp"))
     prints = stored(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("node").alias("node")), "prints")
     groups = components(link(prints, radius), "groups")
-    alone = F.when(F.col("fp").isNull(), F.concat_ws("|", "doc_id", "text_hash"))
+    alone = F.when(F.col("fp").isNull(), F.col("row_key").cast("string"))
     rooted = rows.join(groups, "node", "left").withColumn("_group", F.coalesce("root", "node").cast("string"))
     rooted = rooted.withColumn("_group", F.coalesce(F.concat(F.lit("-"), alone), "_group"))
     group = Window.partitionBy("_group")
-    first = group.orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
-    return rooted.select("doc_id", "text_hash", F.min("doc_id").over(group).alias("group_id"), F.count("*").over(group).alias("group_size"), (F.row_number().over(first) == 1).alias("keep"))
+    first = group.orderBy(F.col("doc_id").asc_nulls_last(), "row_key")
+    return rooted.select("doc_id", "row_key", F.min("doc_id").over(group).alias("group_id"), F.count("*").over(group).alias("group_size"), (F.row_number().over(first) == 1).alias("keep"))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text scanned at once; keeps the scratch arrays near 100 MB however long a batch is.
 SCAN_BYTES = 2 << 20
@@ -158,21 +159,38 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(_word_rows, f"doc_id {kind}, n_words long, words binary"), "words")
 
 
-def summed(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, block: int = 1 << 16) -> np.ndarray:
+#: Partial sums that one task adds up at once.
+FAN_IN = 64
+
+
+def summed(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, block: int = 1 << 13) -> np.ndarray:
     """Sum over all tasks of the float32 vector of `size` that partial() makes of a task's batches.
 
-    Vectors travel in blocks and are added up in double precision where equal blocks meet; only the sum reaches the driver.
+    Vectors travel in blocks and are added up in double precision along a tree, FAN_IN at a time, so that what a task holds does not
+    grow with the number of tasks; only the sum, of fixed size, reaches the driver.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = partial(batches)
-        for b in range(0, size, block):
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([total[b : b + block].astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
+        from pyspark import TaskContext
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), dtype=np.float32).astype(np.float64) for x in table.column("sums"))
-        return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    parts = rows.mapInArrow(send, "block long, sums binary").groupBy("block").applyInArrow(add, "block long, sums binary")
+        task = TaskContext.get().partitionId()
+        total = partial(batches)
+        starts = list(range(0, size, block))
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([task] * len(starts), pa.int64()), pa.array([total[b : b + block].astype(np.float32).tobytes() for b in starts], pa.binary())], names=["block", "task", "sums"])
+
+    def add(kind: type):
+        def run(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_py(), dtype=kind).astype(np.float64) for x in table.column("sums"))
+            return pa.table({"block": table.column("block").slice(0, 1), "task": table.column("task").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        return run
+
+    schema = "block long, task long, sums binary"
+    parts, kind, tasks = rows.mapInArrow(send, schema), np.float32, rows.rdd.getNumPartitions()
+    while True:
+        parts = parts.withColumn("task", (F.col("task") / FAN_IN).cast("long")).groupBy("block", "task").applyInArrow(add(kind), schema)
+        kind, tasks = np.float64, -(-tasks // FAN_IN)
+        if tasks <= 1:
+            break
     found = {r.block: np.frombuffer(bytes(r.sums)) for r in parts.collect()}
     return np.concatenate([found[b] for b in sorted(found)]) if found else np.zeros(size)

@@ -1,8 +1,7 @@
 """Scoring by a hidden Markov language model: Baum-Welch over all documents, exact likelihood by the scaled forward recursion.
 
-The model has `states` latent states over a hashed vocabulary: word w is emitted as bucket hash(w) mod B, and B, a power of two,
-grows with the number of words in the corpus up to MAX_BUCKETS, so the model that every task receives stays below
-MAX_BUCKETS x states doubles. Training reads every word of every document in every iteration: each task runs the
+The model has `states` latent states over a hashed vocabulary: word w is emitted as bucket hash(w) mod BUCKETS, so the model that
+every task receives has the same size whatever the input. Training reads every word of every document in every iteration: each task runs the
 forward and backward recursions for many documents at once (one matrix step for all documents that are still running),
 adds up its expected counts and sends them in blocks of buckets; blocks are summed where they meet and only the
 model itself reaches the driver. What is sent therefore grows with the number of tasks, that is with the input.
@@ -23,16 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, tokenised, unblob, within
+from .common import mix, summed, tokenised, unblob, within
 
 STATES = 8
 ITERATIONS = 3
-MIN_BUCKETS, MAX_BUCKETS = 1 << 12, 1 << 17
-#: Words to each bucket that the vocabulary aims at.
-PER_BUCKET = 1000
+BUCKETS = 1 << 17
 SEGMENT = 8192
 CHUNK = 300_000
-BLOCK = 2048
 #: Added to expected counts, so every sequence has a likelihood above 0.
 SMOOTH = 0.01
 
@@ -149,7 +145,7 @@ def iterate(words: DataFrame, m: Model) -> tuple[Model, float]:
     k, buckets = m.e.shape[1], m.e.shape[0]
     held = spark.sparkContext.broadcast(m)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         # Training needs no more than single precision; scores are computed in double.
         model = Model(*(x.astype(np.float32) for x in held.value))
         counts = np.zeros((k, buckets))
@@ -162,32 +158,16 @@ def iterate(words: DataFrame, m: Model) -> tuple[Model, float]:
                 if len(lay.order):
                     x, s, ll = expected(model, obs[lay.source], lay, counts)
                     xi, starts, total = xi + x, starts + s, total + ll
-        rows = [(-1, np.concatenate([xi.ravel(), starts, [total]]).tobytes())]
-        for b in range(0, buckets, BLOCK):
-            rows.append((b, counts[:, b : b + BLOCK].T.astype(np.float32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        kind = np.float64 if block < 0 else np.float32
-        total = sum(np.frombuffer(x.as_py(), dtype=kind).astype(np.float64) for x in table.column("counts"))
-        return pa.table({"block": pa.array([block], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = words.select("words").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
-    found = {r.block: np.frombuffer(bytes(r.counts)) for r in parts.collect()}
+        return np.concatenate([counts.T.ravel(), xi.ravel(), starts, [total]])
+
+    sums = summed(words.select("words"), count, buckets * k + k * k + k + 1)
     held.unpersist()
-    if not found:
-        return m, 0.0
-    rest = found.pop(-1)
-    xi, starts = rest[: k * k].reshape(k, k) + SMOOTH, rest[k * k : k * k + k] + SMOOTH
-    e = np.concatenate([found[b] for b in sorted(found)]).reshape(buckets, k) + SMOOTH
-    return Model(starts / starts.sum(), xi / xi.sum(axis=1, keepdims=True), e / e.sum(axis=0)), float(rest[-1])
+    e, xi, starts = (x + SMOOTH for x in (sums[: buckets * k].reshape(buckets, k), sums[buckets * k : -k - 1].reshape(k, k), sums[-k - 1 : -1]))
+    return Model(starts / starts.sum(), xi / xi.sum(axis=1, keepdims=True), e / e.sum(axis=0)), float(sums[-1])
 
 
-def train(words: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
+def train(words: DataFrame, states: int = STATES, iterations: int = ITERATIONS, buckets: int = BUCKETS) -> tuple[Model, list[float]]:
     """The model, and the corpus log-likelihood before each iteration."""
-    total = words.agg(F.sum("n_words")).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << int(max(1, total // PER_BUCKET)).bit_length()))
     m, history = initial(states, buckets), []
     for _ in range(iterations):
         m, before = iterate(words, m)

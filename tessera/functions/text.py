@@ -148,13 +148,13 @@ def alias_keys(names: Column) -> Column:
 
 def wikilinks(c: Column) -> Column:
     """Targets of [[links]] without label and section; embeds do not count."""
-    found = F.regexp_extract_all(text(c), F.lit(r"(?<!!)\[\[([^\]]+)\]\]"), F.lit(1))
+    found = F.regexp_extract_all(text(c), F.lit(r"(?<!!)\[{2}([^\]]+)\]{2}"), F.lit(1))
     targets = F.transform(found, lambda x: F.trim(F.substring_index(F.substring_index(x, "|", 1), "#", 1)))
     return F.array_distinct(F.filter(targets, lambda x: F.length(x) > 0))
 
 
 def inline_tags(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text(c), F.lit(r"(?U)(?<![\w/])#(\w[\w/\-]*)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text(c), F.lit(r"(?U)(?<![/\w])#(\w[-\w/]*)"), F.lit(1)))
 
 
 def headings(c: Column) -> Column:
@@ -232,8 +232,7 @@ def query_filters(query: Column) -> Column:
         F.when(part(size, 2).isNotNull(), F.coalesce(part(size, 1), F.lit("="))).alias("size_op"),
         part(size, 2).cast("double").alias("size_value"),
         F.when(part(size, 2).isNotNull(), F.upper(F.coalesce(part(size, 3), F.lit("b")))).alias("size_unit"),
-        part(r"after:\s*(\d{4}-\d{2}-\d{2})", 1).alias("after"),
-        part(r"before:\s*(\d{4}-\d{2}-\d{2})", 1).alias("before"),
+        *(part(name + r":\s*(\d{4}(?:-\d{2}){2})", 1).alias(name) for name in ("after", "before")),
         part(r"type:\s*([a-z0-9]+)", 1).alias("type"),
     )
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f's lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -25,12 +35,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 1e-10, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n > 1e-10, n).otherwise(1.0)))
 
 
 def blend(a: Column, b: Column, weight_a: float, weight_b: float) -> Column:
-    return unit(F.zip_with(a, b, lambda x, y: F.lit(weight_a) * x + F.lit(weight_b) * y))
+    return let(F.zip_with(a, b, lambda x, y: F.lit(weight_a) * x + F.lit(weight_b) * y), unit)
 
 
 def embedding_text(c: Column) -> Column:
@@ -39,39 +48,62 @@ def embedding_text(c: Column) -> Column:
     return F.substring(kept, 1, 512)
 
 
-def features(c: Column) -> Column:
+def features(s: str) -> list[tuple[str, float]]:
     """w: words of two letters and more at weight 2, c: runs of 3 to 5 characters at weight 1."""
-    words = F.transform(F.filter(F.split(c, " "), lambda w: F.length(w) > 1), lambda w: F.struct(F.concat(F.lit("w:"), w).alias("f"), F.lit(2.0).alias("w")))
-    padded = F.concat(F.lit(" "), c, F.lit(" "))
-    parts = [words]
+    out = [("w:" + w, 2.0) for w in s.split(" ") if len(w) > 1]
+    padded = f" {s} "
     for n in (3, 4, 5):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(padded, i, n))
-        full = F.filter(grams, lambda g, n=n: (F.length(g) == n) & (F.length(F.trim(g)) > 0))
-        parts.append(F.transform(full, lambda g: F.struct(F.concat(F.lit("c:"), g).alias("f"), F.lit(1.0).alias("w"))))
-    return F.concat(*parts)
+        out += [("c:" + g, 1.0) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]).strip(" ")]
+    return out
+
+
+#: Features whose digests a task remembers; most recur from text to text.
+MEMORY = 1 << 20
 
 
 def hashed(df: DataFrame, key: str, content: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """key, embedding: signed feature hashing to a unit vector. Features are summed by (key, bucket) with partial sums on the map side."""
-    rows = df.select(key, F.explode(features(embedding_text(F.col(content)))).alias("x"))
-    digest = F.sha2(F.col("x.f"), 256)
-    bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 8), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = rows.select(key, bucket.alias("b"), (sign * F.col("x.w")).alias("v")).groupBy(key, "b").agg(F.sum("v").alias("v"))
-    gathered = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return gathered.select(key, unit(dense).alias("embedding"))
+    """key, embedding: signed feature hashing to a unit vector (SHA-256: four bytes choose the place, four the sign).
+
+    A text has some 1500 features, so they are summed where the text is, in Arrow batches, instead of being exploded and shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            out = np.zeros((len(batch), dimensions))
+            for i, s in enumerate(batch.column(1).to_pylist()):
+                places, values = [], []
+                for f, weight in features(s):
+                    found = known.get(f)
+                    if found is None:
+                        d = hashlib.sha256(f.encode()).digest()
+                        found = known[f] = (int.from_bytes(d[:4], "big") % dimensions, -1.0 if d[7] % 2 else 1.0)
+                    places.append(found[0])
+                    values.append(found[1] * weight)
+                out[i] = np.bincount(places, values, minlength=dimensions) if places else 0
+                if len(known) > MEMORY:
+                    known.clear()
+            size = np.linalg.norm(out, axis=1, keepdims=True)
+            flat = pa.array((out / np.where(size > 1e-10, size, 1)).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dimensions), flat)], names=[key, "embedding"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, embedding_text(F.col(content)).alias("_t")).mapInArrow(run, f"{key} {kind}, embedding array<double>")
 
 
 def quantise(v: Column) -> Column:
     """Per vector: least value, step and codes 0 to 255."""
-    low, high = F.array_min(v), F.array_max(v)
-    step = F.when(high > low, (high - low) / 255.0).otherwise(F.lit(1.0))
-    return F.struct(low.cast("double").alias("low"), step.cast("double").alias("step"), F.transform(v, lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x - low) / step).cast("int")))).alias("codes"))
+    step = F.when(F.array_max(v) > F.array_min(v), (F.array_max(v) - F.array_min(v)) / 255.0).otherwise(F.lit(1.0))
+
+    def codes(g: Column) -> Column:
+        inside = F.transform(v, lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x - g["low"]) / g["step"]).cast("int"))))
+        return F.struct(g["low"].alias("low"), g["step"].alias("step"), inside.alias("codes"))
+
+    return let(F.struct(F.array_min(v).cast("double").alias("low"), step.cast("double").alias("step")), codes)
 
 
 def dequantise(q: Column) -> Column:
-    return F.transform(q["codes"], lambda c: q["low"] + c * q["step"])
+    return let(q, lambda x: F.transform(x["codes"], lambda c: x["low"] + c * x["step"]))
 
 
 def grid_codes(v: Column, offset: Column, scale: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udf
 
 
 def windows(df: DataFrame, key: str, content: str, size: int = 800, overlap: int = 120) -> DataFrame:
@@ -36,7 +37,7 @@ def _tokens(s: str) -> int:
 
 
 def split_sentences(s: str) -> list[str]:
-    return [x for x in re.split(r"(?<=[.!?])\s+", s.strip()) if x]
+    return [x for x in re.split(r"(?<=[!.?])\s+", s.strip()) if x]
 
 
 def _pack(pieces: list[str], most: int, glue: str) -> list[str]:
@@ -53,16 +54,16 @@ def _pack(pieces: list[str], most: int, glue: str) -> list[str]:
 
 def sections(s: str) -> list[tuple[list[str], str]]:
     """Headings above and body of every part between headings; a heading of level n drops those at depth n and below."""
-    marks = list(re.finditer(r"^(#{1,6})\s+(.+)$", s, re.MULTILINE))
+    marks = list(re.finditer(r"^(#{1,6})[ \t]+(\S.*)$", s, re.MULTILINE))
     out = []
     if not marks or marks[0].start():
         lead = s[: marks[0].start() if marks else len(s)].strip()
         if lead:
             out.append(([], lead))
     stack: list[str] = []
-    for i, m in enumerate(marks):
+    for m, end in zip(marks, [m.start() for m in marks[1:]] + [len(s)]):
         stack = [*stack[: len(m.group(1)) - 1], m.group(2).strip()]
-        body = s[m.end() : marks[i + 1].start() if i + 1 < len(marks) else len(s)].strip()
+        body = s[m.end() : end].strip()
         if body:
             out.append((list(stack), body))
     return out
@@ -89,17 +90,17 @@ def chunk_markdown(s: str, most: int = 512, least: int = 64) -> list[tuple[list[
     return out
 
 
-@F.pandas_udf("array<struct<headings:array<string>,text:string>>")
+@udf.pandas("array<struct<headings:array<string>,text:string>>")
 def _chunks(texts: pd.Series, most: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series([[{"headings": h, "text": c} for h, c in chunk_markdown(s or "", m, k)] for s, m, k in zip(texts, most, least)])
 
 
-@F.pandas_udf("array<struct<headings:array<string>,text:string>>")
+@udf.pandas("array<struct<headings:array<string>,text:string>>")
 def _sections(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"headings": h, "text": c} for h, c in sections(s or "")] for s in texts])
 
 
-@F.pandas_udf("array<string>")
+@udf.pandas("array<string>")
 def _sentences(texts: pd.Series) -> pd.Series:
     return pd.Series([split_sentences(s or "") for s in texts])
 

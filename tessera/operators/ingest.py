@@ -111,7 +111,7 @@ def filename_problem(name: Column) -> Column:
         .when(F.contains(name, F.lit("..")) | name.rlike(r"[/\\]"), F.lit("traversal"))
         .when(F.startswith(name, F.lit(".")), F.lit("hidden"))
         .when(F.length(name) > 200, F.lit("too long"))
-        .when(name.rlike(r'[<>:"|?*\x00-\x1f]'), F.lit("characters"))
+        .when(name.rlike(r'["*<>?|:\x00-\x1f]'), F.lit("characters"))
         .when(F.lower(F.regexp_extract(name, r"^([^.]*)", 1)).isin(RESERVED), F.lit("reserved"))
     )
 

@@ -148,5 +148,5 @@ def hit_rate(records: DataFrame, hit: Column) -> DataFrame:
 def last_used(records: DataFrame, now: str) -> DataFrame:
     from ..functions.text import age
 
-    seconds = F.lit(now).cast("timestamp").cast("long") - F.max("ts").cast("long")
+    seconds = F.timestamp_diff("SECOND", F.max("ts"), F.lit(now).cast("timestamp"))
     return records.groupBy("api_key").agg(age(seconds).alias("last_used"))

@@ -1 +1,325 @@
-"""placeholder"""
+"""Catalogue: parsing, chunking, identity, duplicates, tables and query rewriting."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunk, ingest
+from ..sources import notes, parsers
+from .catalog import query, table
+from .retrieval import asked, tok, uniq
+
+_N = "length(text)"
+_WINDOWS = """WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - {o} - 1) + 1, {stride})) AS start FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, CAST(start // {stride} AS BIGINT) AS idx, start, least(length(text), start + {size}) AS "end", substr(text, CAST(start + 1 AS BIGINT), {size}) AS text FROM s)"""
+
+
+@query(_WINDOWS.format(o=120, stride=680, size=800) + ' SELECT doc_id, idx, start, "end", md5(text) AS digest FROM w')
+def chunk_windows(spark, sf_dir):
+    out = chunk.windows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "idx", "start", "end", F.md5("text").alias("digest"))
+
+
+@query(_WINDOWS.format(o=160, stride=1040, size=1200) + ' SELECT doc_id, idx, start, "end", md5(text) AS digest FROM w')
+def chunk_resplit(spark, sf_dir):
+    out = chunk.resplit(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "idx", "start", "end", F.md5("text").alias("digest"))
+
+
+@query(_WINDOWS.format(o=120, stride=680, size=800) + " SELECT doc_id, concat('local://', source, '/doc', doc_id, '#c', lpad(CAST(idx + 1 AS VARCHAR), 4, '0')) AS uri FROM w JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 80")
+def chunk_atoms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("uri", F.concat(F.lit("local://"), "source", F.lit("/doc"), "doc_id"))
+    return chunk.atoms(docs, "doc_id", "uri", "text").select("doc_id", "uri")
+
+
+@query("""WITH s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)) AS l FROM documents),
+u AS (SELECT doc_id, unnest(list_filter(l, lambda x: x <> '')) AS sentence, generate_subscripts(list_filter(l, lambda x: x <> ''), 1) - 1 AS idx FROM s)
+SELECT doc_id, CAST(idx AS BIGINT) AS idx, sentence FROM u""")
+def split_sentences(spark, sf_dir):
+    return chunk.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _markdown(spark, sf_dir):
+    """documents as Markdown: a title, a section for each line, tags and links."""
+    lines = F.split("text", "\n")
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i % 2 == 0, "\n## Part ").otherwise("\n### Sub "), i, F.lit("\n"), x)), "\n")
+    head = F.concat(F.lit("---\ntitle: "), "source", F.lit("\ntags: [a, "), "lang", F.lit("]\naliases:\n  - one\n  - two "), "doc_id", F.lit("\n---\n# Doc "), "doc_id", F.lit("\nSee [[Note "), "source", F.lit("|label]] and [[x/y#part]] #"), "lang", F.lit("/deep\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, body).alias("md"))
+
+
+@query()
+def chunk_markdown(spark, sf_dir):
+    return chunk.markdown(_markdown(spark, sf_dir), "doc_id", "md", 128, 16)
+
+
+@query()
+def heading_sections(spark, sf_dir):
+    return chunk.heading_sections(_markdown(spark, sf_dir), "doc_id", "md")
+
+
+@query()
+def note_frontmatter(spark, sf_dir):
+    n = _markdown(spark, sf_dir).select("doc_id", notes.note_column("md").alias("n"))
+    return n.select("doc_id", F.col("n.frontmatter")["title"].alias("title"), "n.tags", "n.aliases", "n.links", F.size("n.headings").alias("n_headings"))
+
+
+@query()
+def note_embedding_text(spark, sf_dir):
+    n = _markdown(spark, sf_dir).select("doc_id", notes.note_column("md").alias("n"))
+    return n.select("doc_id", notes.embedding_text(F.lit("t"), F.col("n")).alias("text"))
+
+
+@query()
+def note_chunks(spark, sf_dir):
+    return notes.note_chunks(_markdown(spark, sf_dir), "doc_id", "md", 220, 40, 260, 40)
+
+
+_LINKED = "concat('See [[Note ', source, '|x]] ![[pic]] [[a/', lang, '#part]] [[Note ', source, ']] #', lang, ' a#b #x/y')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(concat(' ', {_LINKED}), '(?:^|[^!])\\[\\[([^\\]]+)\\]\\]', 1) AS l FROM documents), t AS (SELECT doc_id, list_transform(l, lambda x: trim(string_split(string_split(x, '|')[1], '#')[1])) AS l FROM d)
+SELECT doc_id, array_to_string({uniq('l')}, ';') AS links FROM t""")
+def wikilinks(spark, sf_dir):
+    text = F.concat(F.lit("See [[Note "), "source", F.lit("|x]] ![[pic]] [[a/"), "lang", F.lit("#part]] [[Note "), "source", F.lit("]] #"), "lang", F.lit(" a#b #x/y"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.wikilinks(text), ";").alias("links"))
+
+
+@query(f"SELECT doc_id, array_to_string(regexp_extract_all({_LINKED}, '(?:^|[^a-zA-Z0-9_/\\[#])#([a-z][a-z/]*)', 1), ';') AS tags FROM documents")
+def inline_tags(spark, sf_dir):
+    text = F.concat(F.lit("See [[Note "), "source", F.lit("|x]] ![[pic]] [[a/"), "lang", F.lit("#part]] [[Note "), "source", F.lit("]] #"), "lang", F.lit(" a#b #x/y"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(T.inline_tags(text), lambda t: t != "part"), ";").alias("tags"))
+
+
+@query("""SELECT conv_id, turn, substr(concat_ws(concat(chr(10), chr(10)), lag(text) OVER w, lead(text) OVER w), 1, 2000) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def chunk_context(spark, sf_dir):
+    out = chunk.with_context(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("text"))
+    return out.select("conv_id", "turn", "context")
+
+
+@query()
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", parsers.html_column("html").alias("text"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT contains(x, '-->')) AS l FROM documents WHERE doc_id % 5 = 0 AND NOT contains(text, '<') AND NOT contains(text, chr(13)))
+SELECT doc_id, array_to_string(l, chr(10)) AS text FROM l""")
+def vtt_to_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").where(~F.contains("text", F.lit("<")) & ~F.contains("text", F.lit("\r")))
+    cues = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x, i: F.concat(i, F.lit("\n00:00.000 --> 00:01.000\n<v Ann>"), x, F.lit("</v>")))
+    vtt = F.concat(F.lit("WEBVTT\n\nNOTE nothing\n\n"), F.array_join(cues, "\n\n"))
+    return docs.select("doc_id", parsers.vtt_column(vtt).alias("text"))
+
+
+@query()
+def latex_to_text(spark, sf_dir):
+    tex = F.concat(F.lit("\\section{"), "source", F.lit("}\n"), F.regexp_replace(F.regexp_replace("text", "[%$#&{}_\\\\^~]", ""), "(\\w+),", "\\\\emph{$1},"), F.lit(" % gone\n\\begin{figure}x\\end{figure}"))
+    return table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", parsers.latex_column(tex).alias("text"))
+
+
+@query("SELECT doc_id, concat('id', chr(9), 'lang', chr(9), 'n', chr(10), doc_id, chr(9), lang, chr(9), n_chars) AS text FROM documents")
+def csv_to_text(spark, sf_dir):
+    c = F.concat(F.lit("id; lang ;n\n"), "doc_id", F.lit(" ;"), "lang", F.lit("; "), "n_chars", F.lit("\n;;\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", parsers.csv_column(c).alias("text"))
+
+
+_FP = "sha1(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^\\s+|\\s+$', '', 'g'))"
+
+
+@query(f"SELECT {_FP} AS fingerprint, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def fingerprint_dedup(spark, sf_dir):
+    return ingest.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, source, {_FP} AS f FROM documents)
+SELECT concat('u', n.doc_id) AS uri, arg_min(concat('u', o.doc_id), o.doc_id) AS duplicate_of FROM d n JOIN d o ON n.lang = o.lang AND n.f = o.f WHERE n.doc_id >= 500 AND o.doc_id < 500 AND (n.source = o.source OR n.doc_id % 3 = o.doc_id % 3) GROUP BY n.doc_id""")
+def alias_overlap_dedup(spark, sf_dir):
+    names = F.array("source", F.concat(F.lit("Third-"), F.col("doc_id") % 3))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("lang").alias("store"), F.concat(F.lit("u"), "doc_id").alias("uri"), F.concat(F.lit("/p"), "doc_id").alias("path"), T.fingerprint(F.col("text")).alias("fingerprint"), T.alias_keys(names).alias("aliases"))
+    return ingest.duplicates_of_existing(d.where("seq >= 500"), d.where("seq < 500"))
+
+
+@query(f"SELECT doc_id, array_to_string({uniq(tok('text'))}, ' ') AS terms FROM documents WHERE length(text) < 3000")
+def ordered_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.length("text") < 3000).select("doc_id", T.lookup_text("text").alias("terms"))
+
+
+_OLD = "(SELECT source AS store, doc_id % 50 AS id, doc_id AS version, lang AS value FROM documents WHERE doc_id < 600)"
+_NEW = "(SELECT source AS store, doc_id % 50 AS id, doc_id AS version, upper(lang) AS value FROM documents WHERE doc_id >= 400)"
+
+
+def _versions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    row = ["source as store", "doc_id % 50 as id", "doc_id as version"]
+    return d.where("doc_id < 600").selectExpr(*row, "lang as value"), d.where("doc_id >= 400").selectExpr(*row, "upper(lang) as value")
+
+
+@query(f"WITH b AS (SELECT *, 0 AS n FROM {_OLD} UNION ALL SELECT *, 1 FROM {_NEW}) SELECT store, id, version, value FROM (SELECT *, row_number() OVER (PARTITION BY store, id ORDER BY version DESC, n DESC) AS r FROM b) WHERE r = 1")
+def upsert_latest(spark, sf_dir):
+    return ingest.upsert(*_versions(spark, sf_dir), ["store", "id"], "version")
+
+
+@query(f"SELECT * FROM {_OLD} UNION ALL SELECT * FROM {_NEW} WHERE version NOT IN (SELECT version FROM {_OLD})")
+def restore_anti_join(spark, sf_dir):
+    return ingest.restore(*_versions(spark, sf_dir), "version")
+
+
+@query("SELECT DISTINCT source AS store FROM documents")
+def create_store(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select(F.col("source").alias("store"))
+    return ingest.insert_absent(s.where("store < 'src2'").distinct(), s, "store")
+
+
+@query("SELECT doc_id, source AS store FROM documents WHERE source <> 'src3'")
+def store_delete(spark, sf_dir):
+    return ingest.without_store(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("store")), "src3")
+
+
+@query("SELECT DISTINCT source AS store FROM documents")
+def list_stores(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("store")).distinct()
+
+
+@query("""WITH b AS (SELECT concat('/f', doc_id) AS path, n_chars AS size, lang AS digest FROM documents WHERE doc_id < 700), a AS (SELECT concat('/f', doc_id) AS path, n_chars + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS size, lang AS digest FROM documents WHERE doc_id > 200)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.size <> b.size OR a.digest <> b.digest""")
+def changed_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("/f"), "doc_id"))
+    after = d.where("doc_id > 200").select("path", (F.col("n_chars") + F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)).alias("size"), F.col("lang").alias("digest"))
+    return ingest.changed_files(d.where("doc_id < 700").select("path", F.col("n_chars").alias("size"), F.col("lang").alias("digest")), after)
+
+
+@query("SELECT concat('/f', doc_id) AS path, doc_id % 100 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS modified FROM documents WHERE doc_id % 3 = 0 OR doc_id >= 500")
+def stale_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("/f"), "doc_id"))
+    parsed = d.where("doc_id < 500").select("path", (F.col("doc_id") % 100).alias("modified"))
+    return ingest.stale(parsed, d.select("path", (F.col("doc_id") % 100 + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("modified")))
+
+
+REWRITES = (
+    (1, "How to serach the docuemnt type:pdf"),
+    (2, "Reports size:>10MB after:2024-01-02 before:2024-03-04"),
+    (3, "pyton and databse .py files"),
+    (4, "size:<=1.5gb notes.md csv"),
+    (5, "the of a"),
+)
+_RQ = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in REWRITES) + ") AS q(query_id, query)"
+SYNONYMS = {"search": ["find", "lookup", "query"], "database": ["db", "store"], "files": ["documents", "find"]}
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS["en"])
+_KEYWORDS = f"list_filter(list_filter(list_transform(list_filter(string_split(regexp_replace(lower(trim(query)), '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), lambda x: regexp_replace(x, '[^a-z0-9_\\-]', '', 'g')), lambda x: NOT list_contains([{_STOP}], x)), lambda x: length(x) > 1)"
+_TYPOS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.TYPOS.items()) + "}"
+_FIXED = f"list_transform({_KEYWORDS}, lambda x: coalesce({_TYPOS}[x], x))"
+
+
+def _rewrites(spark):
+    return asked(spark, REWRITES)
+
+
+@query(f"SELECT query_id, array_to_string({_KEYWORDS}, ' ') AS keywords FROM {_RQ}")
+def extract_keywords(spark, sf_dir):
+    return _rewrites(spark).select("query_id", F.array_join(T.keywords("query"), " ").alias("keywords"))
+
+
+@query(f"SELECT query_id, array_to_string({_FIXED}, ' ') AS keywords FROM {_RQ}")
+def typo_correct(spark, sf_dir):
+    return _rewrites(spark).select("query_id", F.array_join(T.correct(T.keywords("query")), " ").alias("keywords"))
+
+
+@query(f"SELECT query_id, array_to_string(list_sort(list_filter([{', '.join(repr(e) for e in T.EXTENSIONS)}], lambda e: list_contains(regexp_extract_all(lower(query), '[a-z0-9]+'), e))), ' ') AS extensions FROM {_RQ}")
+def extract_extensions(spark, sf_dir):
+    return _rewrites(spark).select("query_id", F.array_join(T.extensions("query"), " ").alias("extensions"))
+
+
+_SIZE = "size:\\s*([<>]=?|=)?\\s*(\\d+(?:\\.\\d+)?)\\s*(tb|gb|mb|kb|b)?"
+
+
+@query(f"""WITH s AS (SELECT query_id, regexp_extract(lower(query), '{_SIZE}', 1) AS op, regexp_extract(lower(query), '{_SIZE}', 2) AS v, regexp_extract(lower(query), '{_SIZE}', 3) AS u, lower(query) AS q FROM {_RQ})
+SELECT query_id, CASE WHEN v <> '' THEN coalesce(nullif(op, ''), '=') END AS size_op, TRY_CAST(v AS DOUBLE) AS size_value, CASE WHEN v <> '' THEN upper(coalesce(nullif(u, ''), 'b')) END AS size_unit,
+nullif(regexp_extract(q, 'after:\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS after, nullif(regexp_extract(q, 'before:\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS before, nullif(regexp_extract(q, 'type:\\s*([a-z0-9]+)', 1), '') AS type FROM s""")
+def extract_filters(spark, sf_dir):
+    return _rewrites(spark).select("query_id", T.query_filters("query").alias("f")).select("query_id", "f.*")
+
+
+_SYN = "map {" + ", ".join(f"'{k}': [{', '.join(repr(x) for x in v)}]" for k, v in SYNONYMS.items()) + "}"
+_FOUND = f"list_filter({uniq(f'flatten(list_transform(k, lambda x: coalesce({_SYN}[x], [])))')}, lambda x: NOT list_contains(k, x))[1:6]"
+
+
+@query(f"SELECT query_id, array_to_string({_FOUND}, ' ') AS expansion FROM (SELECT query_id, {_FIXED} AS k FROM {_RQ})")
+def expand_query(spark, sf_dir):
+    return _rewrites(spark).select("query_id", F.array_join(T.expand(T.correct(T.keywords("query")), SYNONYMS), " ").alias("expansion"))
+
+
+@query(f"""WITH k AS (SELECT query_id, {_FIXED} AS k, {_FIXED} <> {_KEYWORDS} AS c, list_sort(list_filter([{', '.join(repr(e) for e in T.EXTENSIONS)}], lambda e: list_contains(regexp_extract_all(lower(query), '[a-z0-9]+'), e))) AS e FROM {_RQ})
+SELECT query_id, concat(array_to_string(list_concat(k, {_FOUND}), ' '), array_to_string(list_transform(e, lambda x: concat(' type:', x)), '')) AS refined, c AS corrected FROM k""")
+def refine_query(spark, sf_dir):
+    words = T.keywords("query")
+    fixed = T.correct(words)
+    kinds = F.array_join(F.transform(T.extensions("query"), lambda e: F.concat(F.lit(" type:"), e)), "")
+    refined = F.concat(F.array_join(F.concat(fixed, T.expand(fixed, SYNONYMS)), " "), kinds)
+    return _rewrites(spark).select("query_id", refined.alias("refined"), (fixed != words).alias("corrected"))
+
+
+@query("SELECT doc_id, array_to_string(flatten(list_transform(list_filter(string_split(regexp_replace(lower(trim(substr(text, 1, 60))), '\\s+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda i: substr(w, i, 2)))), '|') AS tokens FROM documents")
+def bigram_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.language_tokens(F.substring("text", 1, 60), "ja"), "|").alias("tokens"))
+
+
+@query("SELECT doc_id, sha256(concat_ws('|', substr(text, 1, 20), source, concat('lang=', lang), concat('mode=', 'hybrid'))) AS key FROM documents")
+def cache_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.cache_key(F.substring("text", 1, 20), F.col("source"), mode=F.lit("hybrid"), lang=F.col("lang"), model=F.lit(None)).alias("key"))
+
+
+@query("SELECT doc_id, concat('local://', source, '/', url_encode(concat('/a b/', lang, '~*', doc_id, '+.md'))) AS uri, concat('/a b/', lang, '~*', doc_id, '+.md') AS path FROM documents")
+def doc_uri(spark, sf_dir):
+    uri = T.document_uri(F.col("source"), F.concat(F.lit("/a b/"), "lang", F.lit("~*"), "doc_id", F.lit("+.md")))
+    return table(spark, sf_dir, "documents").select("doc_id", uri.alias("uri"), T.uri_path(T.chunk_uri(uri, F.lit(3))).alias("path"))
+
+
+def _metadata():
+    return F.create_map(F.lit("file_path"), F.concat(F.lit("/home/"), "source", F.lit("/doc.pdf")), F.lit("file_type"), F.lit(".docx"), F.lit("status"), F.lit("indexed"), F.lit("is_binary"), F.lit("false"), F.lit("note"), F.col("lang"))
+
+
+@query("SELECT doc_id, concat('P=[H]', source, '/doc[*pdf];T=[*dx];status=1;B=N;note=', lang) AS packed FROM documents")
+def pack_metadata(spark, sf_dir):
+    m = table(spark, sf_dir, "documents").select("doc_id", ingest.pack(_metadata()).alias("m"))
+    return m.select("doc_id", F.array_join(F.transform(F.array(*(F.lit(k) for k in ("P", "T", "status", "B", "note"))), lambda k: F.concat(k, F.lit("="), F.element_at("m", k))), ";").alias("packed"))
+
+
+@query("SELECT doc_id, concat('/home/', source, '/doc.pdf') AS path, '.docx' AS kind, 'indexed' AS status FROM documents")
+def unpack_metadata(spark, sf_dir):
+    m = table(spark, sf_dir, "documents").select("doc_id", ingest.unpack(ingest.pack(_metadata())).alias("m"))
+    return m.select("doc_id", F.col("m")["file_path"].alias("path"), F.col("m")["file_type"].alias("kind"), F.col("m")["status"].alias("status"))
+
+
+_FILES = ("ok.md", "../x", ".hid", "con.txt", "a<b", "", "x" * 201, "CONSOLE.txt")
+
+
+@query("SELECT * FROM (VALUES ('ok.md', NULL), ('../x', 'traversal'), ('.hid', 'hidden'), ('con.txt', 'reserved'), ('a<b', 'characters'), ('', 'empty'), (repeat('x', 201), 'too long'), ('CONSOLE.txt', NULL)) AS f(name, problem)")
+def filename_validation(spark, sf_dir):
+    return spark.createDataFrame([(f,) for f in _FILES], "name string").select("name", ingest.filename_problem(F.col("name")).alias("problem"))
+
+
+@query("SELECT item_id, CASE WHEN length(text) > 1000 THEN 'too long' END AS problem FROM benchmark UNION ALL SELECT -1, 'empty'")
+def query_validation(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(spark.createDataFrame([(-1, "  ")], "item_id long, text string"))
+    return rows.select("item_id", ingest.query_problem(F.col("text")).alias("problem"))
+
+
+@query("SELECT doc_id, substr(text, 1, 100) AS answer, NOT contains(lower(substr(text, 1, 100)), 'the') AND NOT contains(lower(substr(text, 1, 100)), 'der') AS ok FROM documents")
+def validate_answer(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", ingest.validated_answer(F.col("text"), ["The", "der"], 100).alias("v"))
+    return rows.select("doc_id", "v.answer", "v.ok")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (toxic = 0) AS success, count(*) FILTER (toxic <> 0) AS failed FROM labels")
+def batch_summary(spark, sf_dir):
+    return ingest.batch_summary(table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 0, "success").otherwise("error").alias("status")))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN concat(n_chars, ' B') ELSE concat(format('{:.1f}', n_chars / 1024.0), ' KB') END AS size FROM documents WHERE n_chars < 100000 AND (n_chars * 10) % 512 <> 0")
+def human_size(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("n_chars < 100000 AND (n_chars * 10) % 512 <> 0").select("doc_id", T.human_size(F.col("n_chars")).alias("size"))
+
+
+@query("SELECT doc_id, CAST(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) / CAST(0.75 AS DOUBLE)) AS INTEGER) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.estimated_tokens("text").alias("tokens"))

@@ -29,7 +29,7 @@ def tok(x: str) -> str:
 
 
 def uniq(x: str) -> str:
-    return f"list_filter({x}, lambda u, i: list_position({x}, u) = i)"
+    return f"list_transform([{x}], lambda l: list_filter(l, lambda u, i: list_position(l, u) = i))[1]"
 
 
 def _bm25_sql(text: str, queries: str, k: int, source: str = "documents") -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udf
 from ..operators.chunk import chunk_markdown
 
 NOTE = "struct<frontmatter:map<string,array<string>>,body:string,headings:array<string>,links:array<string>,tags:array<string>,aliases:array<string>>"
@@ -52,19 +53,19 @@ def _listed(values: list[str]) -> list[str]:
 
 def parse_note(s: str) -> dict:
     front, body = frontmatter(s)
-    links = [re.split(r"[|#]", x)[0].strip() for x in re.findall(r"(?<!!)\[\[([^\]]+)\]\]", body)]
+    links = [re.split(r"[|#]", x)[0].strip() for x in re.findall(r"(?<!!)\[{2}([^\]]+)\]{2}", body)]
     tags = [x.lstrip("#") for x in _listed(front.get("tags", []) + front.get("tag", []))]
     return {
         "frontmatter": front,
         "body": body,
         "headings": [h.strip() for h in re.findall(r"^#{1,6}[ \t]+(.+)$", body, re.MULTILINE)],
         "links": _distinct(links),
-        "tags": _distinct(tags + re.findall(r"(?<![\w/])#(\w[\w/\-]*)", body)),
+        "tags": _distinct(tags + re.findall(r"(?<![/\w])#(\w[-\w/]*)", body)),
         "aliases": _distinct(_listed(front.get("aliases", []) + front.get("alias", []))),
     }
 
 
-@F.pandas_udf(NOTE)
+@udf.pandas(NOTE)
 def note_column(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_note(s or "") for s in texts], columns=["frontmatter", "body", "headings", "links", "tags", "aliases"])
 
@@ -82,7 +83,7 @@ def embedding_text(title: Column, note: Column) -> Column:
 def note_chunks(df: DataFrame, key: str, content: str, most: int = 512, least: int = 64, size: int = 1200, overlap: int = 160) -> DataFrame:
     """key, idx, headings, span, text and indexed: chunks of a note, long ones as windows, each with its headings, tags and links before it."""
 
-    @F.pandas_udf("array<struct<headings:array<string>,start:int,end:int,text:string,tags:array<string>,links:array<string>>>")
+    @udf.pandas("array<struct<headings:array<string>,start:int,end:int,text:string,tags:array<string>,links:array<string>>>")
     def cut(texts: pd.Series) -> pd.Series:
         out = []
         for s in texts:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import udf
+
 Parser = Callable[[bytes], str]
 _PARSERS: dict[str, Parser] = {}
 
@@ -44,35 +46,34 @@ def plain(data: bytes) -> str:
 
 
 class _Html(HTMLParser):
-    HIDDEN = {"script", "style", "head", "noscript", "template"}
+    HIDDEN = set("head noscript script style template".split())
     BLOCK = set("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
+    def __init__(self):
+        super().__init__()
+        self.parts = []
         self.depth = 0
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def handle_starttag(self, tag, attrs):
         self.depth += tag in self.HIDDEN
         if tag in self.BLOCK and not self.depth:
             self.parts.append("\n")
 
-    def handle_endtag(self, tag: str) -> None:
+    def handle_endtag(self, tag):
         if tag in self.HIDDEN:
             self.depth = max(0, self.depth - 1)
         elif tag in self.BLOCK and not self.depth:
             self.parts.append("\n")
 
-    def handle_data(self, data: str) -> None:
-        if not self.depth:
-            self.parts.append(data)
+    def handle_data(self, data):
+        self.parts += [] if self.depth else [data]
 
 
 def html_text(source: str) -> str:
     reader = _Html()
     reader.feed(source or "")
     reader.close()
-    return re.sub(r"\n{3,}", "\n\n", "".join(reader.parts)).strip()
+    return re.sub(r"\n\n\n+", "\n\n", "".join(reader.parts)).strip()
 
 
 @register("html", "htm", "xhtml")
@@ -83,7 +84,7 @@ def html(data: bytes) -> str:
 def vtt_text(source: str) -> str:
     """The spoken lines: without header, notes, styles, regions, cue names, times and tags."""
     out = []
-    for block in re.split(r"\n\s*\n", (source or "").replace("\r\n", "\n").lstrip("\ufeff")):
+    for block in re.split(r"\n\s*\n", "\n".join((source or "").splitlines()).lstrip("\ufeff")):
         lines = block.strip("\n").split("\n")
         if re.match(r"(WEBVTT|NOTE|STYLE|REGION)\b", lines[0]) and not any("-->" in x for x in lines[:2]):
             continue
@@ -108,12 +109,12 @@ _TEX_RULES = [
     (r"\\(?:cite|ref|label|eqref|usepackage|documentclass|input|include|bibliography|bibliographystyle)\w*(?:\[[^\]]*\])?\{[^{}]*\}", ""),
     (r"\\item\b", "-"),
     (r"\$\$?[^$]*\$\$?", ""),
-    (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1"),
-    (r"\\[a-zA-Z]+\*?", ""),
+    (r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1"),
+    (r"\\[A-Za-z]+\*?", ""),
     (r"[{}]", ""),
     (r"[ \t]+", " "),
     (r" *\n *", "\n"),
-    (r"\n{3,}", "\n\n"),
+    (r"\n\n\n+", "\n\n"),
 ]
 
 
@@ -225,7 +226,7 @@ def rtf(data: bytes) -> str:
     s = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "ignore"), s)
     s = re.sub(r"\\(?:par|line|row)\b ?", "\n", s)
     s = re.sub(r"\\(?:tab|cell)\b ?", "\t", s)
-    return re.sub(r"[{}]", "", re.sub(r"\\[a-zA-Z]+-?\d* ?|\\[^a-zA-Z]", "", s)).strip()
+    return re.sub(r"[{}]", "", re.sub(r"\\[A-Za-z]+-?\d* ?|\\[^a-zA-Z]", "", s)).strip()
 
 
 @register("pdf")
@@ -283,7 +284,7 @@ def extract(name: str, data: bytes | None) -> str:
         return ""
 
 
-@F.pandas_udf("string")
+@udf.pandas("string")
 def _extract(names: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([extract(n or "", d) for n, d in zip(names, data)])
 
@@ -297,16 +298,16 @@ def parsed(files: DataFrame, most: int | None = None) -> DataFrame:
     return read.select("path", "modified", "length", status.alias("status"), F.when(~F.col("_large"), F.col("text")).alias("text"))
 
 
-@F.pandas_udf("string")
+@udf.pandas("string")
 def html_column(sources: pd.Series) -> pd.Series:
     return sources.map(lambda s: html_text(s or ""))
 
 
-@F.pandas_udf("string")
+@udf.pandas("string")
 def vtt_column(sources: pd.Series) -> pd.Series:
     return sources.map(lambda s: vtt_text(s or ""))
 
 
-@F.pandas_udf("string")
+@udf.pandas("string")
 def csv_column(sources: pd.Series) -> pd.Series:
     return sources.map(lambda s: csv_text(s or ""))

@@ -54,7 +54,11 @@ def contains_all(haystack: Column, query_terms: Column) -> Column:
 
 def prefix_run(haystack: Column, query_terms: Column) -> Column:
     """Longest run of the text's terms that start with successive query terms from the first on, as a share of the query."""
-    own = terms(haystack)
+    return prefix_run_of(terms(haystack), query_terms)
+
+
+def prefix_run_of(own: Column, query_terms: Column) -> Column:
+    """prefix_run of a text whose terms are given."""
     size = F.size(own)
 
     def run(start: Column) -> Column:

@@ -49,46 +49,64 @@ def _names(title: Column, path: Column, aliases: Column) -> Column:
     return F.concat(F.array(T.text(title), T.stem(T.text(path))), F.coalesce(aliases, F.array().cast("array<string>")))
 
 
-def exact_file_score(query: Column, title: Column, headings: Column, content: Column, path: Column, aliases: Column) -> Column:
-    q, words = T.lookup_text(query), T.terms(query)
-    name = T.lookup_text(F.array_join(_names(title, path, aliases), " "))
-    head = T.lookup_text(F.array_join(headings, " "))
-    body = T.lookup_text(F.substring(T.strip(T.text(content)), 1, 2000))
+def prepared(docs: DataFrame) -> DataFrame:
+    """Adds what matching of names reads of a document, so it is worked out once for each document and not for each query: _names (normalised
+    names with their terms), _name (all of them), _head, _body, _titled (terms of a title that is a file name, else null)."""
+    c = F.col
+    names = _names(c("title"), c("path"), c("aliases"))
+    title = F.lower(T.text(c("title")))
+    known = F.filter(F.transform(names, lambda n: F.struct(T.lookup_text(n).alias("n"), T.terms(n).alias("t"))), lambda x: F.length(x["n"]) > 0)
+    return docs.select(
+        "*",
+        known.alias("_names"),
+        T.lookup_text(F.array_join(names, " ")).alias("_name"),
+        T.lookup_text(F.array_join("headings", " ")).alias("_head"),
+        T.lookup_text(F.substring(T.strip(T.text(c("content"))), 1, 2000)).alias("_body"),
+        F.when(title.rlike(r"\.(md|txt)$"), F.size(T.terms(T.stem(title)))).alias("_titled"),
+    )
+
+
+def prepared_queries(queries: DataFrame) -> DataFrame:
+    """Adds _q, the normalised query, and _words, its terms."""
+    return queries.select("*", T.lookup_text("query").alias("_q"), T.terms("query").alias("_words"))
+
+
+def exact_file_score() -> Column:
+    """How well a query names a file, over prepared documents and queries."""
+    q, words = F.col("_q"), F.col("_words")
     best = F.greatest(
-        F.when(F.contains(name, q), 5.0).otherwise(0.0),
-        F.when(T.contains_all(name, words), 4.5).otherwise(0.0),
-        F.when(F.contains(head, q), 4.0).otherwise(0.0),
-        F.when(T.contains_all(head, words), 3.5).otherwise(0.0),
-        F.when(F.contains(body, q), 3.0).otherwise(0.0),
+        F.when(F.contains("_name", q), 5.0).otherwise(0.0),
+        F.when(T.contains_all(F.col("_name"), words), 4.5).otherwise(0.0),
+        F.when(F.contains("_head", q), 4.0).otherwise(0.0),
+        F.when(T.contains_all(F.col("_head"), words), 3.5).otherwise(0.0),
+        F.when(F.contains("_body", q), 3.0).otherwise(0.0),
     )
     return F.when(F.length(q) >= 4, best).otherwise(0.0)
 
 
-def title_score(query: Column, title: Column, path: Column, aliases: Column) -> Column:
-    q, words = T.lookup_text(query), T.terms(query)
+def title_score() -> Column:
+    """How well a query matches one of a document's names, over prepared documents and queries."""
+    q, words = F.col("_q"), F.col("_words")
 
-    def one(name: Column) -> Column:
-        n = T.lookup_text(name)
-        kind = F.when(n == q, 7.0).when(F.contains(n, q), 6.0).when(T.contains_all(n, words), 5.2).otherwise(0.0)
-        return F.when(F.length(n) > 0, kind + 1.2 * T.prefix_run(n, words)).otherwise(0.0)
+    def one(x: Column) -> Column:
+        kind = F.when(x["n"] == q, 7.0).when(F.contains(x["n"], q), 6.0).when(T.contains_all(x["n"], words), 5.2).otherwise(0.0)
+        return kind + 1.2 * T.prefix_run_of(x["t"], words)
 
-    return F.when(F.length(q) >= 4, F.array_max(F.transform(_names(title, path, aliases), one))).otherwise(0.0)
+    return F.when(F.length(q) >= 4, F.coalesce(F.array_max(F.transform("_names", one)), F.lit(0.0))).otherwise(0.0)
 
 
-def arbitration(query: Column, title: Column, headings: Column, path: Column, aliases: Column) -> Column:
-    """What settles between files whose titles match alike, as a struct that compares field by field."""
-    q, words = T.lookup_text(query), T.terms(query)
-    names = F.filter(F.transform(_names(title, path, aliases), T.lookup_text), lambda n: F.length(n) > 0)
-    shortest = F.array_min(F.transform(names, lambda n, i: F.struct(F.length(n).alias("l"), i.alias("i"), n.alias("n"))))
-    name = F.coalesce(shortest["n"], F.lit(""))
-    own = T.terms(name)
-    head = T.lookup_text(F.array_join(headings, " "))
+def arbitration(score: Column) -> Column:
+    """What settles between files whose titles match alike, as a struct that compares field by field; over prepared documents and queries."""
+    q, words, head = F.col("_q"), F.col("_words"), F.col("_head")
+    shortest = F.array_min(F.transform("_names", lambda x, i: F.struct(F.length(x["n"]).alias("l"), i.alias("i"), x["n"].alias("n"), x["t"].alias("t"))))
+    name, own = F.coalesce(shortest["n"], F.lit("")), F.coalesce(shortest["t"], F.array().cast("array<string>"))
     known = (F.length(name) > 0) & (F.length(q) > 0)
     extra = F.size(F.array_except(own, words)) + F.when(F.size(F.array_except(words, own)) > 0, 10).otherwise(0)
     gap = F.greatest(F.lit(0), F.length(name) - F.length(q))
-    noise = F.when(F.lower(T.text(title)).rlike(r"\.(md|txt)$"), F.greatest(F.lit(0), F.size(T.terms(T.stem(F.lower(T.text(title))))) - F.size(words))).otherwise(0)
+    noise = F.coalesce(F.greatest(F.lit(0), F.col("_titled") - F.size(words)), F.lit(0))
+    noise = F.when(F.col("_titled").isNull(), 0).otherwise(noise)
     return F.struct(
-        F.round(title_score(query, title, path, aliases), 4).alias("score"),
+        F.round(score, 4).alias("score"),
         (known & (name == q)).cast("int").alias("exact"),
         (known & F.startswith(name, q)).cast("int").alias("prefix"),
         ((F.length(head) > 0) & (F.length(q) > 0) & F.startswith(head, q)).cast("int").alias("heading"),
@@ -98,12 +116,11 @@ def arbitration(query: Column, title: Column, headings: Column, path: Column, al
 
 
 def exact_notes(pairs: DataFrame, per_cluster: int = 2) -> DataFrame:
-    """query_id, seq, uri, cluster, confidence: for each query the documents of the one cluster whose title it names, where it is clear.
+    """query_id, seq, uri, cluster, n, confidence: for each query the documents of the one cluster whose title it names, where it is clear.
 
-    pairs: query_id, query, the columns of documents, and cluster.
+    pairs: prepared documents, each with its cluster, with prepared queries.
     """
-    scored = pairs.withColumn("score", title_score(F.col("query"), F.col("title"), F.col("path"), F.col("aliases"))).where("score > 0")
-    scored = scored.withColumn("arb", arbitration(F.col("query"), F.col("title"), F.col("headings"), F.col("path"), F.col("aliases")))
+    scored = pairs.withColumn("score", title_score()).where("score > 0").withColumn("arb", arbitration(F.col("score"))).select("query_id", "seq", "uri", "cluster", "score", "arb")
     best = scored.groupBy("query_id", "cluster").agg(F.max("score").alias("score"), F.max("arb").alias("arb"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("arb").desc(), F.col("cluster"))
     ranked = best.select("*", F.row_number().over(order).alias("n"), F.lead("score").over(order).alias("score2"), F.lead("arb").over(order).alias("arb2")).where("n = 1 AND score >= 5.2")

@@ -196,17 +196,14 @@ s AS (SELECT doc_id, query_id, path, CASE WHEN length(q) < 4 THEN 0 WHEN contain
 
 @query(_EXACT_SQL + " SELECT doc_id, query_id, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0")
 def exact_file_score(spark, sf_dir):
-    c = F.col
-    pairs = searchable(spark, sf_dir).crossJoin(asked(spark, _EXACT_ASKED))
-    return pairs.select("doc_id", "query_id", rank.exact_file_score(c("query"), c("title"), c("headings"), c("content"), c("path"), c("aliases")).alias("score")).where("score > 0")
+    pairs = S.pairs(asked(spark, _EXACT_ASKED), searchable(spark, sf_dir))
+    return pairs.select("doc_id", "query_id", rank.exact_file_score().alias("score")).where("score > 0")
 
 
 @query(_EXACT_SQL + """, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM s)
 SELECT doc_id, query_id FROM m WHERE best < 3 OR (query_id, lower(path)) IN (SELECT (query_id, lower(path)) FROM m WHERE score >= best)""")
 def exact_file_filter(spark, sf_dir):
-    c = F.col
-    pairs = searchable(spark, sf_dir).crossJoin(asked(spark, _EXACT_ASKED)).withColumn("cluster", T.cluster_key(c("parent"), c("path"), c("uri")))
-    scored = pairs.withColumn("file", rank.exact_file_score(c("query"), c("title"), c("headings"), c("content"), c("path"), c("aliases")))
+    scored = S.pairs(asked(spark, _EXACT_ASKED), searchable(spark, sf_dir)).withColumn("file", rank.exact_file_score())
     return rank.exact_file_filter(scored, "query_id", "file", "cluster").select("doc_id", "query_id")
 
 
@@ -219,9 +216,8 @@ SELECT doc_id, query_id, round(CAST(score AS DOUBLE), 6) AS score FROM s WHERE s
 
 @query(_TITLE_SQL)
 def title_score(spark, sf_dir):
-    c = F.col
-    pairs = searchable(spark, sf_dir).crossJoin(asked(spark, _EXACT_ASKED))
-    return pairs.select("doc_id", "query_id", F.round(rank.title_score(c("query"), c("title"), c("path"), c("aliases")), 6).alias("score")).where("score > 0")
+    pairs = S.pairs(asked(spark, _EXACT_ASKED), searchable(spark, sf_dir))
+    return pairs.select("doc_id", "query_id", F.round(rank.title_score(), 6).alias("score")).where("score > 0")
 
 
 @query()
@@ -389,8 +385,8 @@ def quality_verdict(spark, sf_dir):
 
 _SNIP = """WITH p AS (SELECT doc_id, query_id, text, lower(text) AS t, lower(query) AS q FROM documents, {q}),
 a AS (SELECT *, CASE WHEN contains(t, q) THEN q ELSE list_filter(string_split(q, ' '), lambda w: length(w) > 3 AND contains(t, w))[1] END AS word FROM p),
-b AS (SELECT *, strpos(t, word) AS at FROM a WHERE word IS NOT NULL)
-SELECT doc_id, query_id, trim(regexp_replace(substr(text, CAST(greatest(at - 100, 1) AS BIGINT), CAST(at + length(word) + 100 - greatest(at - 100, 1) AS BIGINT)), '\\s+', ' ', 'g')) AS snippet FROM b"""
+b AS (SELECT *, strpos(t, word) AS pos FROM a WHERE word IS NOT NULL)
+SELECT doc_id, query_id, trim(regexp_replace(substr(text, CAST(greatest(pos - 100, 1) AS BIGINT), CAST(pos + length(word) + 100 - greatest(pos - 100, 1) AS BIGINT)), '\\s+', ' ', 'g')) AS snippet FROM b"""
 
 
 @query(_SNIP.format(q=_Q))

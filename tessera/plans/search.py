@@ -5,6 +5,7 @@ Candidates of every way to answer are made for all queries at once; a query take
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -37,6 +38,14 @@ class Corpus:
         return Corpus(self.docs, self.chunks, V.hashed(text, "seq", "t", dimensions))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, for results of a few rows a query that several parts of a plan use; kept in the checkpoint folder of the session."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def _with_cluster(df: DataFrame) -> DataFrame:
     return df.withColumn("cluster", T.cluster_key(F.col("parent"), F.col("path"), F.col("uri")))
 
@@ -84,34 +93,30 @@ def fuse(semantic: DataFrame, keyword: DataFrame, limit: int) -> DataFrame:
 
 
 def pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every query with every document; one side is a batch of queries, which travels to the documents."""
-    return _with_cluster(docs).crossJoin(queries)
-
-
-def _file_score():
-    c = F.col
-    return rank.exact_file_score(c("query"), c("title"), c("headings"), c("content"), c("path"), c("aliases"))
+    """Every query with every document, both prepared; one side is a batch of queries, which travels to the documents."""
+    return rank.prepared(_with_cluster(docs)).crossJoin(rank.prepared_queries(queries))
 
 
 def post_filter(ranked: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Only the clusters of the best exact file match, where there is a good one."""
-    scored = ranked.join(docs.select("seq", "title", "headings", "content", "path", "aliases"), "seq").join(queries, "query_id").withColumn("_file", _file_score())
+    read = rank.prepared(docs.select("seq", "title", "headings", "content", "path", "aliases"))
+    scored = ranked.join(read, "seq").join(rank.prepared_queries(queries), "query_id").withColumn("_file", rank.exact_file_score())
     return rank.exact_file_filter(scored.select(*ranked.columns, "_file"), "query_id", "_file", "cluster").drop("_file")
 
 
 def snippets(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, seq, uri, cluster, snippet of every document (chunks do not count) that has one."""
-    found = pairs(queries, docs.select("seq", "uri", "content", "parent", "path")).withColumn("snippet", T.snippet(F.col("content"), F.col("query")))
+    found = _with_cluster(docs.select("seq", "uri", "content", "parent", "path")).crossJoin(queries).withColumn("snippet", T.snippet(F.col("content"), F.col("query")))
     return found.where(F.length("snippet") > 0).select("query_id", "seq", "uri", "cluster", "snippet")
 
 
 def backstop(queries: DataFrame, corpus: Corpus, limit: int) -> DataFrame:
     """query_id, seq, uri, cluster, rank: keyword ranking, then documents whose name, headings or folder match, one of each cluster."""
     ranked = keyword_ranking(queries, corpus, max(2 * limit, 5)).withColumn("part", F.lit(0)).withColumn("place", -F.col("rank").cast("double"))
-    c, words = F.col, T.terms("query")
-    direct = pairs(queries, corpus.docs)
-    run = F.greatest(T.prefix_run(c("title"), words), T.prefix_run(F.array_join("headings", " "), words))
-    direct = direct.withColumn("place", F.round(_file_score() + run + rank.folder_prior(c("query"), c("path")), 9)).where("place > 0")
+    c, words = F.col, F.col("_words")
+    direct = pairs(queries, corpus.docs.select("*", T.terms("title").alias("_t"), T.terms(F.array_join("headings", " ")).alias("_h")))
+    run = F.greatest(T.prefix_run_of(c("_t"), words), T.prefix_run_of(c("_h"), words))
+    direct = direct.withColumn("place", F.round(rank.exact_file_score() + run + rank.folder_prior(c("query"), c("path")), 9)).where("place > 0")
     columns = ("query_id", "seq", "uri", "cluster", "part", "place")
     both = ranked.select(*columns).unionByName(direct.withColumn("part", F.lit(1)).select(*columns))
     kept = post_filter(both, corpus.all, queries)
@@ -154,25 +159,26 @@ def search(queries: DataFrame, corpus: Corpus, mode: str = "hybrid", max_sources
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    named = exact(queries, corpus, max_sources)
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))
-    hits = snippets(queries, corpus.docs).withColumn("rank", order)
-    net = backstop(queries, corpus, max_sources)
+    named = settled(exact(queries, corpus, max_sources))
+    # As many as a full list of sources can leave out.
+    hits = settled(index.top(snippets(queries, corpus.docs), 2 * max_sources, ["query_id"], F.col("seq")).drop("snippet"))
+    net = settled(backstop(queries, corpus, max_sources))
     last = _tier(_fallback(queries, corpus.docs, max_sources), 9, "none", 0.3)
     if mode == "keyword":
         found = _best([_tier(hits, 1, "keyword", 0.7), _tier(named, 2, "exact"), _tier(net, 3, "backstop", 0.5), last], max_sources)
     else:
         embedded = embed_queries(queries, len(corpus.vectors.first().embedding)) if embedded is None else embedded
-        near = vector_ranking(queries, embedded, corpus)
+        near = settled(vector_ranking(queries, embedded, corpus))
         if mode == "hybrid":
-            fused = fuse(near, keyword_ranking(queries, corpus, rank.pool_size(max_sources, alpha)), max_sources)
+            keyword = settled(keyword_ranking(queries, corpus, rank.pool_size(max_sources, alpha)))
+            fused = settled(fuse(near, keyword, max_sources))
             level = fused.groupBy("query_id").agg(F.max("confidence").alias("level"))
             # The named file wins where it is surer than the fusion; a poor result gives way to the backstop.
             sure = named.join(level, "query_id", "left").where("level IS NULL OR confidence > level").drop("level")
             kept = post_filter(fused, corpus.all, queries)
             poor = net.join(level.where(rank.verdict(F.col("level")) == "INHIBIT"), "query_id").withColumnRenamed("level", "confidence")
             found = _best([_tier(sure, 1, "exact"), _tier(poor, 2, "backstop"), _tier(kept, 3, "fused"), _tier(hits, 4, "keyword", 0.7), last], max_sources)
-            found = _augment(found, hits, max_sources)
+            found = _augment(settled(found), hits, max_sources)
         else:
             vector = _tier(post_filter(near, corpus.all, queries).drop("score"), 5, "vector", 0.3)
             first = [_tier(named, 1 if mode == "semantic" else 3, "exact"), _tier(hits, 2, "keyword", 0.7)]

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Topics by the first cue that a text has; the rest is prose. Cues are plain substrings.
 TOPICS = (("licence", "icense"), ("secret", 'token = "'), ("contact", "@"), ("listing", " | "), ("markup", "%%%"))
 KEEP = 0.5
@@ -75,7 +77,8 @@ def cell_probabilities(counted: DataFrame, keep: float, flatten: float, rounds:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         return rake(pdf.sort_values(list(_MARGINS), ignore_index=True), flatten, rounds, keep)[[*_MARGINS, "p"]]
 
-    return cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, schema)
+    # Written out, the table's size is known when the join is planned: a small one travels to the documents, a large one is merged.
+    return stored(cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, schema), "cells")
 
 
 def mix(docs: DataFrame, keep: float = KEEP, flatten: float = FLATTEN, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:

@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     chosen = [known.where(F.col("_y") == y).orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample) for y in (0.0, 1.0)]
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("_id"))
     found = rows.select("text", "_y").mapInArrow(_features, "y double, x array<double>").toPandas()
-    y, x = found["y"].to_numpy(dtype=np.float64), np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), -1)
+    y, x = found["y"].to_numpy(dtype=np.float64), np.array(found["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     if len(np.unique(y)) < 2:
         return None
     order = np.lexsort([*x.T, y])  # rows come in any order; sums must not depend on it

@@ -150,3 +150,9 @@ def last_used(records: DataFrame, now: str) -> DataFrame:
 
     seconds = F.timestamp_diff("SECOND", F.max("ts"), F.lit(now).cast("timestamp"))
     return records.groupBy("api_key").agg(age(seconds).alias("last_used"))
+
+
+def recent(alerts: DataFrame, now: str, hours: int = 24) -> DataFrame:
+    """Alerts of the last hours, the newest first."""
+    at = F.lit(now).cast("timestamp")
+    return alerts.where((F.col("ts") > at - F.make_dt_interval(hours=F.lit(hours))) & (F.col("ts") <= at)).orderBy(F.col("ts").desc(), "api_key")

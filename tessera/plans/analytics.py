@@ -261,3 +261,9 @@ def approx_distinct_users(spark, sf_dir):
 def latency_percentiles(spark, sf_dir):
     """Extension: latency quantiles by endpoint from a sketch."""
     return _records(spark, sf_dir).groupBy("endpoint").agg(F.percentile_approx("duration_ms", [0.5, 0.95, 0.99], 10000).alias("ms"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS api_key, ts FROM events WHERE event_type = 'error' AND ts > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 48 HOUR AND ts <= TIMESTAMP '2024-01-20 12:00:00' ORDER BY ts DESC")
+def recent_alerts(spark, sf_dir):
+    alerts = _records(spark, sf_dir).where("status = 500").select("api_key", "ts")
+    return usage.recent(alerts, NOW, 48)

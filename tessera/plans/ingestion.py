@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, ingest
+from ..operators import chunk, ingest, keys
 from ..sources import notes, parsers
+from . import search as S
 from .catalog import query, table
 from .retrieval import asked, tok, uniq
 
@@ -323,3 +324,49 @@ def human_size(spark, sf_dir):
 @query("SELECT doc_id, CAST(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) / CAST(0.75 AS DOUBLE)) AS INTEGER) AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.estimated_tokens("text").alias("tokens"))
+
+
+@query("SELECT count(*) AS items, CAST(sum(length(source) + length(lang) + length('/home/') + length('/doc.pdf.docxindexedfalse')) AS BIGINT) AS before, CAST(sum(length(source) + length(lang) + length('[H]') + length('/doc[*pdf][*dx]1N')) AS BIGINT) AS after FROM documents")
+def compression_stats(spark, sf_dir):
+    m = table(spark, sf_dir, "documents").select(_metadata().alias("m")).select("m", ingest.pack(F.col("m")).alias("p"))
+    size = lambda c: F.length(F.array_join(F.map_values(c), ""))
+    return m.agg(F.count("*").alias("items"), F.sum(size("m")).alias("before"), F.sum(size("p")).alias("after"))
+
+
+_CUSTOMER_KEYS = "(SELECT c_custkey AS key_id, c_name AS name, sha256(concat('k', c_custkey)) AS key_hash, c_mktsegment AS user_id, c_acctbal AS created_at, c_custkey % 5 <> 0 AS is_active, CASE WHEN c_custkey % 3 = 0 THEN '[\"read\",\"write\"]' ELSE '[\"read\"]' END AS permissions FROM customer)"
+
+
+def _keys(spark, sf_dir):
+    may = F.when(F.col("c_custkey") % 3 == 0, '["read","write"]').otherwise('["read"]')
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key_id"), F.col("c_name").alias("name"), keys.key_hash(F.concat(F.lit("k"), "c_custkey")).alias("key_hash"), F.col("c_mktsegment").alias("user_id"), F.col("c_acctbal").alias("created_at"), (F.col("c_custkey") % 5 != 0).alias("is_active"), may.alias("permissions"))
+
+
+@query(f"SELECT key_id, name, array_to_string(CASE WHEN key_id % 3 = 0 THEN ['read', 'write'] ELSE ['read'] END, ',') AS permissions, is_active FROM {_CUSTOMER_KEYS} WHERE user_id = 'BUILDING'")
+def list_keys(spark, sf_dir):
+    return keys.of_user(_keys(spark, sf_dir), "BUILDING").select("key_id", "name", F.array_join("permissions", ",").alias("permissions"), "is_active")
+
+
+@query(f"SELECT key_id, is_active AND key_id % 7 <> 0 AS is_active FROM {_CUSTOMER_KEYS}")
+def revoke_keys(spark, sf_dir):
+    k = _keys(spark, sf_dir)
+    return keys.revoke(k, k.where("key_id % 7 = 0").select("key_id")).select("key_id", "is_active")
+
+
+@query(f"SELECT key_id, key_hash, is_active FROM {_CUSTOMER_KEYS} WHERE key_id <= 100 UNION ALL SELECT key_id, key_hash, true FROM {_CUSTOMER_KEYS} WHERE key_id > 100")
+def issue_keys(spark, sf_dir):
+    k = _keys(spark, sf_dir)
+    new = k.where("key_id > 90").withColumn("key", F.concat(F.lit("k"), "key_id")).drop("key_hash", "is_active")
+    return keys.issue(k.where("key_id <= 100"), new).select("key_id", "key_hash", "is_active")
+
+
+@query("SELECT event_id, user_id IN (SELECT c_custkey FROM customer) AND user_id % 5 <> 0 AND user_id % 3 = 0 AS allowed FROM events")
+def authenticate(spark, sf_dir):
+    requests = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("k"), "user_id").alias("key"))
+    return keys.authenticated(requests, _keys(spark, sf_dir), "write").select("event_id", "allowed")
+
+
+@query("SELECT md5(text) AS digest, CAST(idx AS INTEGER) AS chunk_index FROM (SELECT text, 0 AS idx FROM documents WHERE length(text) BETWEEN 1 AND 800)")
+def loader_export(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.length("text").between(1, 800))
+    rows = chunk.windows(docs, "doc_id", "text").withColumn("headings", F.array().cast("array<string>"))
+    return S.exported(rows).select(F.md5("text").alias("digest"), F.col("metadata.chunk_index").cast("int").alias("chunk_index"))

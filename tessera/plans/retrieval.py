@@ -448,3 +448,21 @@ def eval_recall(spark, sf_dir):
     ranked = _ranked(index.bm25_top(table(spark, sf_dir, "documents"), asked(spark), "doc_id", "text", 10))
     judged = ranked.join(labels, "doc_id", "left").crossJoin(labels.agg(F.count_if("good").alias("n_relevant")))
     return learner.evaluation(judged.select(F.lit("keyword").alias("mode"), "query_id", "rank", F.coalesce("good", F.lit(False)).alias("relevant"), "n_relevant"))
+
+
+@query()
+def rag_retrieval(spark, sf_dir):
+    return S.retrieve(asked(spark), corpus(spark, sf_dir).embedded())
+
+
+@query(f"SELECT uri, seq, title FROM (VALUES ('local://src1/doc1'), ('local://none/1')) AS k(uri) LEFT JOIN {_DOC_SQL} USING (uri) UNION ALL (SELECT uri, seq, title FROM {_DOC_SQL} WHERE doc_id % 100 = 3)")
+def point_lookup(spark, sf_dir):
+    docs = searchable(spark, sf_dir)
+    keys = spark.createDataFrame([("local://src1/doc1",), ("local://none/1",)], "uri string").unionByName(docs.where("doc_id % 100 = 3").select("uri"))
+    return S.lookup(docs.select("uri", "seq", "title"), keys)
+
+
+@query()
+def image_embedding(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", V.image_vector(F.col("html").cast("binary")).alias("v"))
+    return pages.select("page_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(V.norm(F.col("v")), 6).alias("norm"))

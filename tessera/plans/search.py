@@ -197,6 +197,30 @@ def _augment(found: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
     return found.unionByName(more.select("query_id", "seq", "uri", "rank", F.lit(8).alias("tier"), F.lit("augmented").alias("method"), "confidence"))
 
 
+def retrieve(queries: DataFrame, corpus: Corpus, max_sources: int = 5, embedded: DataFrame | None = None) -> DataFrame:
+    """What a language model is given: the named file, else near vectors, else documents that hold the query, else the backstop; columns as of search."""
+    embedded = embed_queries(queries, len(corpus.vectors.first().embedding)) if embedded is None else embedded
+    near = post_filter(vector_ranking(queries, embedded, corpus, max_sources), corpus.all, queries)
+    body = F.lower(T.contextual(F.col("headings"), F.col("content"), F.col("context")))
+    holding = _with_cluster(corpus.docs).crossJoin(queries).where(F.contains(body, T.lower_trim("query"))).select("query_id", "seq", "uri")
+    holding = index.top(holding, max_sources, ["query_id"], F.col("seq"))
+    tiers = [_tier(exact(queries, corpus, max_sources), 1, "exact"), _tier(near.drop("score"), 2, "vector", 0.7), _tier(holding, 3, "substring", 0.55), _tier(backstop(queries, corpus, max_sources), 4, "backstop", 0.45)]
+    found = settled(_best(tiers, max_sources)).join(corpus.all.select("seq", "title"), "seq")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "seq"))
+    out = found.select("query_id", place.alias("rank"), "uri", "title", "method", F.round("confidence", 4).alias("confidence"))
+    return out.withColumn("low_confidence", F.col("confidence") <= rank.LOW)
+
+
+def lookup(df: DataFrame, keys: DataFrame, key: str = "uri") -> DataFrame:
+    """Rows of the asked keys; keys that are not there give a row of nulls."""
+    return keys.select(key).distinct().join(df, key, "left")
+
+
+def exported(chunks: DataFrame) -> DataFrame:
+    """text and metadata of chunks, the shape that loaders of other frameworks take."""
+    return chunks.select("text", F.struct("headings", F.col("idx").alias("chunk_index")).alias("metadata"))
+
+
 def prompt(sources: DataFrame, docs: DataFrame, each: int = 1200) -> DataFrame:
     """query_id, prompt: what a language model would be given, the best documents cut to `each` characters."""
     body = sources.join(docs.select("uri", "content"), "uri").select("query_id", "rank", F.concat(F.lit("["), "title", F.lit("]\n"), F.substring("content", 1, each)).alias("t"))

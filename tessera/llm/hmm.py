@@ -1,10 +1,14 @@
 """Scoring by a hidden Markov language model: Baum-Welch over all documents, exact likelihood by the scaled forward recursion.
 
-The model has `states` latent states over a hashed vocabulary: word w is emitted as bucket hash(w) mod BUCKETS, so the model that
-every task receives has the same size whatever the input. Training reads every word of every document in every iteration: each task runs the
-forward and backward recursions for many documents at once (one matrix step for all documents that are still running),
-adds up its expected counts and sends them in blocks of buckets; blocks are summed where they meet and only the
-model itself reaches the driver. What is sent therefore grows with the number of tasks, that is with the input.
+The model has `states` latent states and an emission probability of its own for every word of the corpus (words are told apart
+by 64-bit hashes; a model given `buckets` folds them, for comparison). The vocabulary is never held in one place:
+
+1. Documents are laid into blocks of about BLOCK words, each with the list of its distinct words.
+2. A block runs the forward and backward recursions over all its words (one matrix step for all documents that are still
+   running) and sends its expected counts keyed by word to the word's part; the number of parts follows from the number of words.
+3. A part adds up the counts of its words over all blocks and sends the sums back to the blocks that hold the words.
+
+What is gathered therefore grows with the distinct words and with the input; the driver gets the sums over states only.
 
 In training a text is cut every SEGMENT words to bound memory (all segments count); scores are those of whole texts.
 
@@ -22,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, summed, tokenised, unblob, within
+from .common import _remove as removed
+from .common import mix, scan, stored, within
 
 STATES = 8
 ITERATIONS = 3
-BUCKETS = 1 << 17
+#: Words of a block, and words (counted once for each block that holds them) of a part.
+BLOCK, PART = 4_000_000, 500_000
 SEGMENT = 8192
 CHUNK = 300_000
 #: Added to expected counts, so every sequence has a likelihood above 0.
@@ -130,55 +136,242 @@ def chunks(first: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, np.nda
         yield row[lo:hi], begin[lo:hi], lengths[lo:hi]
 
 
-def initial(states: int, buckets: int) -> Model:
-    """Near-uniform emissions, told apart by noise that depends on bucket and state alone."""
-    ids = np.arange(buckets, dtype=np.uint64)[:, None] * np.uint64(1 << 20) + np.arange(states, dtype=np.uint64)
-    noise = mix(ids + np.uint64(0x5851F42D4C957F2D)).astype(np.float64) / 2.0**64
-    e = 0.5 + noise
+def _pack(x: np.ndarray) -> bytes:
+    """Without loss: the values' bytes by place, of which the upper ones are alike, packed."""
+    planes = np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+    return x.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T).reshape(-1).view(kind)
+
+
+class Fitted(NamedTuple):
+    """A model whose emissions lie in the shared folder: `sums` has the expected counts of each block's words, by block and part."""
+
+    pi: np.ndarray  # (K,)
+    a: np.ndarray  # (K, K), rows sum to 1
+    sums: DataFrame | None  # block, part, sums; none: the first emissions, which a word's hash tells
+    total: np.ndarray  # (K,) sums over all words
+    buckets: int
+    parts: int
+
+
+def _noise(words: np.ndarray, states: int) -> np.ndarray:
+    """(words, states): the first emissions, near-uniform, told apart by noise that depends on word and state alone."""
+    ids = mix(words)[:, None] + np.arange(states, dtype=np.uint64)
+    return 0.5 + mix(ids + np.uint64(0x5851F42D4C957F2D)).astype(np.float64) / 2.0**64
+
+
+def _block_rows(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            ids = pa.concat_arrays([x for x, *_ in held])
+            first = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n, *_ in held]))]).astype(np.int64)
+            words, place = np.unique(np.concatenate([w for _, _, w, _ in held]), return_inverse=True)
+            place = np.split(place.astype(np.uint32), np.cumsum([len(w) for _, _, w, _ in held])[:-1])
+            obs = np.concatenate([p[x] for p, (*_, x) in zip(place, held)])
+            n = np.bincount(obs, minlength=len(words))
+            # Frequent words get small numbers, so the upper halves are nearly all 0 and pack well.
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(order), dtype=np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            obs = rank[obs]
+            cells = [words[order], first, (obs & np.uint32(0xFFFF)).astype(np.uint16), (obs >> np.uint32(16)).astype(np.uint16)]
+            columns = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in cells)]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "vocabulary", "first", "low", "high"])
+
+        for batch in batches:
+            for lo, hi, words in scan(batch.column(1)):
+                own, place = np.unique(words.hash, return_inverse=True)
+                held.append((batch.column(0).slice(lo, hi - lo), np.diff(words.first), own, place.astype(np.uint32)))
+                if sum(len(x) for *_, x in held) >= BLOCK:
+                    yield packed()
+                    number, held[:] = number + 1, []
+        if held:
+            yield packed()
+
+    return run, f"block long, ids array<{kind}>, vocabulary binary, first binary, low binary, high binary"
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """The documents in blocks, in the shared folder: doc_ids, distinct words, and the words as numbers of these."""
+    return stored(docs.select("doc_id", "text").mapInArrow(*_block_rows(docs.schema["doc_id"].dataType.simpleString())), "blocks")
+
+
+class _Block(NamedTuple):
+    number: int
+    obs: np.ndarray  # numbers of keys
+    first: np.ndarray
+    keys: np.ndarray  # distinct words, by part
+    cuts: np.ndarray  # where each part begins and ends
+
+
+def _block(row: pa.Table | pa.RecordBatch, i: int, buckets: int, parts: int) -> _Block:
+    get = lambda name, kind: np.frombuffer(row.column(name)[i].as_py(), dtype=kind)
+    words = get("vocabulary", np.uint64)
+    keys, number = np.unique(words % np.uint64(buckets) if buckets else words, return_inverse=True)
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    obs = place[number][get("low", np.uint16).astype(np.int64) | (get("high", np.uint16).astype(np.int64) << 16)]
+    return _Block(row.column("block")[i].as_py(), obs, get("first", np.int64), keys[order], np.searchsorted(part[order], np.arange(parts + 1)))
+
+
+_SENT, _SUMS = "part long, block long, words binary, counts binary", "block long, part long, sums binary"
+
+
+def _sent(b: _Block, counts: np.ndarray, stats: np.ndarray | None) -> pa.Table:
+    """A block's counts (words, K) by part, and at part -1 what else it adds up."""
+    at = np.flatnonzero(np.diff(b.cuts))
+    rows = [(int(p), _pack(b.keys[b.cuts[p] : b.cuts[p + 1]]), _pack(counts[b.cuts[p] : b.cuts[p + 1]].astype(np.float32))) for p in at]
+    if stats is not None:
+        rows.append((-1, b"", stats.tobytes()))
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([b.number] * len(rows), pa.int64()), "words": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _add(k: int):
+    """Sums of each word of a part, for every block that has it; at block -1 the sums over all words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, counts = table.column("part")[0].as_py(), [x.as_py() for x in table.column("counts")]
+        if part < 0:
+            rows = [(-1, sum(np.frombuffer(x) for x in counts).tobytes())]
+        else:
+            each = [_unpack(x.as_py(), np.uint64) for x in table.column("words")]
+            keys, where = np.unique(np.concatenate(each), return_inverse=True)
+            flat = np.concatenate([_unpack(x, np.float32) for x in counts]).reshape(-1, k)
+            sums = np.stack([np.bincount(where, flat[:, j], minlength=len(keys)) for j in range(k)], axis=1) + SMOOTH
+            back = np.split(sums.astype(np.float32)[where], np.cumsum([len(x) for x in each])[:-1])
+            rows = [(b.as_py(), _pack(x)) for b, x in zip(table.column("block"), back)] + [(-1, sums.sum(axis=0).tobytes())]
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), "sums": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
+
+
+def _first_total(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([_unpack(x.as_py(), np.uint64) for x in table.column("words")]))
+        return pa.table({"block": pa.array([-1], pa.int64()), "part": table.column("part").slice(0, 1), "sums": pa.array([_noise(keys, k).sum(axis=0).tobytes()], pa.binary())})
+
+    return run
+
+
+def _emissions(b: _Block, m: Fitted, sums: pa.Table | None) -> np.ndarray:
+    """(words, K): probabilities of the block's words."""
+    k = len(m.pi)
+    if sums is None:
+        return _noise(b.keys, k) / m.total
+    parts = sums.column("part").to_numpy()
+    blob = sums.column("sums")
+    found = [_unpack(blob[int(i)].as_py(), np.float32) for i in np.argsort(parts)]
+    return (np.concatenate(found) if found else np.zeros(0)).reshape(-1, k) / m.total
+
+
+def _over(words: DataFrame, m: Fitted, each, schema: str) -> DataFrame:
+    """each(row, i, sums) for every block, met by the sums of its words."""
+    if m.sums is None:
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(len(batch)):
+                    yield from each(batch, i, None).to_batches()
+
+        return words.mapInArrow(alone, schema)
+    return words.groupBy("block").cogroup(m.sums.where("block >= 0").groupBy("block")).applyInArrow(lambda left, right: each(left, 0, right), schema)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """stored(); the shuffles that led to it go at once, so what lies on disk does not add up over iterations."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def _drop(df: DataFrame | None) -> None:
+    """Removes what _kept() wrote, once nothing reads it again."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():
+        removed(df.sparkSession, path)
+
+
+def _totals(df: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sums over all words, and what part -1 has."""
+    rows = {r.part: np.frombuffer(bytes(r.sums)) for r in df.where("block = -1").collect()}
+    rest = rows.pop(-1, None)
+    return sum(rows[p] for p in sorted(rows)) if rows else np.ones(1), rest
+
+
+def initial(words: DataFrame, states: int, buckets: int) -> Fitted:
+    held = words.agg(F.sum(F.length("vocabulary"))).first()[0] or 0
+    parts = max(1, -(-held // (8 * PART)))
+    nothing = np.zeros((0, 0))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield from _sent(_block(batch, i, buckets, parts), nothing, None).to_batches()
+
+    total, _ = _totals(words.mapInArrow(send, _SENT).groupBy("part").applyInArrow(_first_total(states), _SUMS))
     a = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
-    return Model(np.full(states, 1 / states), a, e / e.sum(axis=0))
+    return Fitted(np.full(states, 1 / states), a, None, total, buckets, parts)
 
 
-def iterate(words: DataFrame, m: Model) -> tuple[Model, float]:
+def iterate(words: DataFrame, m: Fitted) -> tuple[Fitted, float]:
     """One Baum-Welch iteration over all words: the next model, and the log-likelihood under m."""
-    spark = words.sparkSession
-    k, buckets = m.e.shape[1], m.e.shape[0]
-    held = spark.sparkContext.broadcast(m)
+    k = len(m.pi)
+    plain = m._replace(sums=None)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    def count(row: pa.Table, i: int, sums: pa.Table | None) -> pa.Table:
+        b = _block(row, i, plain.buckets, plain.parts)
         # Training needs no more than single precision; scores are computed in double.
-        model = Model(*(x.astype(np.float32) for x in held.value))
-        counts = np.zeros((k, buckets))
+        model = Model(*(x.astype(np.float32) for x in (plain.pi, plain.a, _emissions(b, plain, sums))))
+        counts = np.zeros((k, len(b.keys)))
         xi, starts, total = np.zeros((k, k)), np.zeros(k), 0.0
-        for batch in batches:
-            ids, first = unblob(batch.column(0), np.uint32)
-            obs = (ids % np.uint32(buckets)).astype(np.int64)
-            for _, begin, lengths in chunks(first, SEGMENT):
-                lay = lanes(begin, lengths)
-                if len(lay.order):
-                    x, s, ll = expected(model, obs[lay.source], lay, counts)
-                    xi, starts, total = xi + x, starts + s, total + ll
-        return np.concatenate([counts.T.ravel(), xi.ravel(), starts, [total]])
-
-    sums = summed(words.select("words"), count, buckets * k + k * k + k + 1)
-    held.unpersist()
-    e, xi, starts = (x + SMOOTH for x in (sums[: buckets * k].reshape(buckets, k), sums[buckets * k : -k - 1].reshape(k, k), sums[-k - 1 : -1]))
-    return Model(starts / starts.sum(), xi / xi.sum(axis=1, keepdims=True), e / e.sum(axis=0)), float(sums[-1])
-
-
-def train(words: DataFrame, states: int = STATES, iterations: int = ITERATIONS, buckets: int = BUCKETS) -> tuple[Model, list[float]]:
-    """The model, and the corpus log-likelihood before each iteration."""
-    m, history = initial(states, buckets), []
+        for _, begin, lengths in chunks(b.first, SEGMENT):
+            lay = lanes(begin, lengths)
+            if len(lay.order):
+                x, s, ll = expected(model, b.obs[lay.source], lay, counts)
+                xi, starts, total = xi + x, starts + s, total + ll
+        return _sent(b, counts.T, np.concatenate([xi.ravel(), starts, [total]]))
+
+    counts = _kept(_over(words, m, count, _SENT), "counts")
+    sums = _kept(counts.groupBy("part").applyInArrow(_add(k), _SUMS), "sums")
+    _drop(counts)
+    total, rest = _totals(sums)
+    if rest is None:
+        return m, 0.0
+    xi, starts = rest[: k * k].reshape(k, k) + SMOOTH, rest[k * k : -1] + SMOOTH
+    return m._replace(pi=starts / starts.sum(), a=xi / xi.sum(axis=1, keepdims=True), sums=sums, total=total), float(rest[-1])
+
+
+def train(words: DataFrame, states: int = STATES, iterations: int = ITERATIONS, buckets: int = 0) -> tuple[Fitted, list[float]]:
+    """The model, and the corpus log-likelihood before each iteration; buckets: fold words into so many (0: every word its own)."""
+    m, history = initial(words, states, buckets), []
     for _ in range(iterations):
+        last = m
         m, before = iterate(words, m)
         history.append(before)
+        if m is not last:
+            _drop(last.sums)
     return m, history
 
 
 def likelihood(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Exact log-likelihood of each sequence; 0.0 for empty ones."""
     out = np.zeros(len(first) - 1)
-    obs = (ids % np.uint32(len(m.e))).astype(np.int64)
+    obs = (ids % max(1, len(m.e))).astype(np.int64)
     for row, begin, lengths in chunks(first, 0):
         lay = lanes(begin, lengths)
         if len(lay.order):
@@ -187,16 +380,17 @@ def likelihood(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(words: DataFrame, m: Model) -> DataFrame:
-    held = words.sparkSession.sparkContext.broadcast(m)
+def score(words: DataFrame, m: Fitted) -> DataFrame:
+    plain = m._replace(sums=None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, first = unblob(batch.column(2), np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likelihood(held.value, ids, first))], names=["doc_id", "n_words", "ll"])
+    def run(row: pa.Table, i: int, sums: pa.Table | None) -> pa.Table:
+        b = _block(row, i, plain.buckets, plain.parts)
+        found = likelihood(Model(plain.pi, plain.a, _emissions(b, plain, sums)), b.obs, b.first)
+        ids = row.column("ids")[i].values
+        return pa.table({"doc_id": ids, "n_words": pa.array(np.diff(b.first)), "ll": pa.array(found)})
 
-    kind = words.schema["doc_id"].dataType.simpleString()
-    out = words.mapInArrow(run, f"doc_id {kind}, n_words long, ll double")
+    kind = words.schema["ids"].dataType.elementType.simpleString()
+    out = _over(words, m, run, f"doc_id {kind}, n_words long, ll double")
     return out.select("doc_id", "n_words", F.round("ll", 4).alias("log_likelihood"), F.when(F.col("n_words") > 0, F.round(F.exp(-F.col("ll") / F.col("n_words")), 4)).alias("perplexity"))
 
 

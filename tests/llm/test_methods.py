@@ -58,6 +58,28 @@ def test_training_raises_the_likelihood(spark, sf_dir):
     assert sum(r.log_likelihood for r in scores) == pytest.approx(last, rel=1e-4)
 
 
+def test_every_word_has_its_own_emission(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(hmm, "PART", 500)
+    docs = table(spark, sf_dir, "documents")
+    m, _ = hmm.train(hmm.tokenised(docs), states=2, iterations=1)
+    distinct = {w for r in docs.select("text").collect() for w in words_of(r.text)}
+    assert m.parts == m.sums.where("block >= 0").select("part").distinct().count() > 1
+    # Smoothing adds SMOOTH for each word of each state, the rest is one count for each word of the corpus.
+    n = sum(len(words_of(r.text)) for r in docs.select("text").collect())
+    assert m.total.sum() == pytest.approx(n + 2 * hmm.SMOOTH * len(distinct), rel=1e-6, abs=0.02)
+
+
+def test_more_words_never_share_a_probability(spark):
+    # One state: a word's probability is its share of the corpus, however many other words there are.
+    n = (1 << 17) + 5000
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, n, 40))) for i in range(40)] + [(40, "w7")], "doc_id long, text string")
+    found = {r.doc_id: r for r in hmm.language_model_scores(docs, states=1, iterations=1).collect()}
+    total = n + 1 + hmm.SMOOTH * n
+    assert found[40].log_likelihood == pytest.approx(np.log((2 + hmm.SMOOTH) / total), abs=1e-3)
+    size = found[3].n_words
+    assert found[3].log_likelihood == pytest.approx(size * np.log((1 + hmm.SMOOTH) / total), rel=1e-5)
+
+
 def test_simhash_finds_what_brute_force_finds(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text").collect()
     texts = pa.array([r.text for r in rows], pa.string())

@@ -5,10 +5,11 @@ the cells alone are raked (a table of sources x languages x topics, in one task,
 probability meets its documents again by a join on the cell. Whether a document is drawn depends only on its doc_id, its
 length and the seed, so any retry or repartition draws the same documents.
 
-Targets flatten the observed marginals: a category with share s gets a target in proportion to s ** flatten. Raking
-multiplies the weights of every cell by target / current along source, then language, then topic, `rounds` times; the
-weights are then scaled so that the expected tokens are `keep` of all tokens, and a cell is never drawn with a
-probability above 1.
+Targets flatten the observed marginals: a category with share s gets a target in proportion to s ** flatten. Raking multiplies the weights of every cell by factors
+of its source, then language, then topic under the bound that no cell gives more than it has, until every marginal is
+within TOLERANCE of its target, so the marginals fitted are those drawn. Expected tokens are `keep` of all tokens, or, where a
+category has less than its target at that size, the largest share found at which all marginals can be met together. With bounded=False, `rounds` of plain raking are clipped at a
+probability of 1 afterwards: what the SQL of op7_mixture says, though clipped cells miss their targets.
 
 Defined results: null source and null language are categories of their own; a null text counts as empty; an empty text
 has one token, so its document can be drawn; rows that agree in doc_id and text are drawn or left together; extra
@@ -29,6 +30,8 @@ TOPICS = (("licence", "icense"), ("secret", 'token = "'), ("contact", "@"), ("li
 KEEP = 0.5
 FLATTEN = 0.7
 ROUNDS = 8
+#: Largest miss of a marginal as a share of its target, and sweeps over the margins until that is given up.
+TOLERANCE, SWEEPS = 1e-4, 300
 SEED = "mix-1"
 _MARGINS = ("_source", "_lang", "_topic")
 
@@ -46,7 +49,7 @@ def _draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rake(cells: pd.DataFrame, flatten: float, rounds: int, keep: float) -> pd.DataFrame:
+def rake(cells: pd.DataFrame, flatten: float, rounds: int, keep: float, bounded: bool = True) -> pd.DataFrame:
     """Adds p, the probability of each cell, to cells with the margins and `tokens`."""
     tokens = cells["tokens"].to_numpy(dtype=np.float64)
     weight = tokens.copy()
@@ -56,6 +59,8 @@ def rake(cells: pd.DataFrame, flatten: float, rounds: int, keep: float) -> pd.Da
         code = pd.factorize(cells[name], use_na_sentinel=False)[0]
         target = (np.bincount(code, tokens) / total) ** flatten
         coded.append((code, target / target.sum()))
+    if bounded:
+        return cells.assign(p=_bounded(tokens, coded, keep) if len(cells) else tokens)
     for _ in range(rounds):
         for code, target in coded:
             now = np.bincount(code, weight)
@@ -63,29 +68,69 @@ def rake(cells: pd.DataFrame, flatten: float, rounds: int, keep: float) -> pd.Da
     return cells.assign(p=np.minimum(1.0, keep * total * (weight / weight.sum()) / tokens))
 
 
+def _under(tokens: np.ndarray, coded: list[tuple[np.ndarray, np.ndarray]], keep: float) -> tuple[np.ndarray, float]:
+    """Probabilities of at most 1 raked to the targets, and the largest miss of a marginal as a share of its target."""
+    wanted = [(code, keep * tokens.sum() * target) for code, target in coded]
+    weight = keep * tokens
+    for _ in range(SWEEPS):
+        for code, want in wanted:
+            full = np.zeros(len(tokens), dtype=bool)
+            while True:  # the cells that reach the bound only become more
+                whole = np.bincount(code, tokens * full, len(want))
+                free = np.bincount(code, weight * ~full, len(want))
+                factor = np.divide(want - whole, free, out=np.full(len(want), -1.0), where=free > 0)
+                over = ~full & (weight * factor[code] > tokens * (1 + 1e-12))
+                if not over.any():
+                    break
+                full |= over
+            # Where every cell is full, all factors from the largest that fills one on are right.
+            needed = np.zeros(len(want))
+            np.maximum.at(needed, code, tokens / weight)
+            weight = weight * np.where(factor > 0, factor, needed)[code]
+        given = np.minimum(tokens, weight)
+        miss = max(np.abs(np.bincount(code, given) / want - 1).max() for code, want in wanted)
+        if miss <= TOLERANCE:
+            break
+    return np.minimum(1.0, weight / tokens), float(miss)
+
+
+def _bounded(tokens: np.ndarray, coded: list[tuple[np.ndarray, np.ndarray]], keep: float) -> np.ndarray:
+    high = min(keep, *((np.bincount(code, tokens) / (target * tokens.sum())).min() for code, target in coded))
+    p, miss = _under(tokens, coded, high)
+    low = high if miss <= TOLERANCE else 0.0
+    for _ in range(12 if not low else 0):
+        middle = (low + high) / 2
+        found, miss = _under(tokens, coded, middle)
+        if miss <= TOLERANCE:
+            p, low = found, middle
+        else:
+            high = middle
+    return p
+
+
 def measured(docs: DataFrame, *columns: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     tokens = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
     return docs.select(*columns, "doc_id", F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic(text).alias("_topic"), tokens.cast("long").alias("_tokens"), F.length(text).cast("long").alias("_length"))
 
 
-def cell_probabilities(counted: DataFrame, keep: float, flatten: float, rounds: int) -> DataFrame:
+def cell_probabilities(counted: DataFrame, keep: float, flatten: float, rounds: int, bounded: bool = True) -> DataFrame:
     """_source, _lang, _topic and p of every cell."""
     cells = counted.groupBy(*_MARGINS).agg(F.sum("_tokens").alias("tokens"))
     schema = "_source string, _lang string, _topic string, p double"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return rake(pdf.sort_values(list(_MARGINS), ignore_index=True), flatten, rounds, keep)[[*_MARGINS, "p"]]
+        return rake(pdf.sort_values(list(_MARGINS), ignore_index=True), flatten, rounds, keep, bounded)[[*_MARGINS, "p"]]
 
     # Written out, the table's size is known when the join is planned: a small one travels to the documents, a large one is merged.
     return stored(cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, schema), "cells")
 
 
-def mix(docs: DataFrame, keep: float = KEEP, flatten: float = FLATTEN, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, keep: float = KEEP, flatten: float = FLATTEN, rounds: int = ROUNDS, seed: str = SEED, bounded: bool = True) -> DataFrame:
     """doc_id, source, lang, topic, tokens, p (6 places) and sampled for each document; see the module for edge cases."""
     counted = measured(docs)
     # Texts never take part in the join: it carries the few numbers that were measured on them.
-    joined = counted.join(cell_probabilities(counted, keep, flatten, rounds), list(_MARGINS))
+    joined = counted.join(cell_probabilities(counted, keep, flatten, rounds, bounded), list(_MARGINS))
     return joined.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("p", 6).alias("p"), (_draw(seed) < F.col("p")).alias("sampled"))
 
 

@@ -11,8 +11,8 @@
 
 Two words in twenty changed leave about 36 of 256 bits different, unrelated documents about 100. The number of segments
 that name a cell follows from the number of fingerprints (cells stay near CELL of them), and the number of tables
-from that, so that a pair at three quarters of the radius meets in some cell with a probability of 0.97 or more whatever the size of
-the data. Equal fingerprints are collapsed before the join, and inside a cell a dense set is linked through pivots with
+from that, so that a pair at the radius itself meets in some cell, and is a candidate there, with a probability of RECALL or
+more whatever the size of the data. Equal fingerprints are collapsed before the join, and inside a cell a dense set is linked through pivots with
 the triangle inequality instead of pair by pair, so large groups of copies cost no quadratic work.
 
 Defined results: a null or wordless text has no fingerprint; such a document is a group of its own and is kept. A null
@@ -38,9 +38,9 @@ BITS = 256
 RADIUS = 46
 #: Fingerprints that a grid cell is meant to hold, and segments and sets of them for candidates inside a cell.
 CELL = 20_000
-INNER, SETS = 8, 16
-#: Chance that one segment's counts agree, for a pair at three quarters of the radius and for unrelated documents.
-NEAR, FAR = 0.77, 0.42
+INNER, SETS = 8, 32
+#: Chance that a pair at the radius becomes a candidate, and that one segment's counts agree for unrelated documents.
+RECALL, FAR = 0.92, 0.42
 _WIDE = np.array([int.from_bytes(bytes((i >> (7 - j)) & 1 for j in range(8)), "little") for i in range(256)], dtype=np.uint64)
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 
@@ -84,11 +84,26 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pc.if_else(mask, binary, pa.scalar(None, pa.binary()))], names=["doc_id", "row_key", "fp"])
 
 
-def shape(n: int) -> tuple[int, int]:
+def chance(bits: int, outer: int, tables: int) -> float:
+    """Exact chance that two fingerprints that differ in `bits` random bits become candidates in one of the tables."""
+    n, total = BITS // 2, 0.0
+    for both in range(max(0, bits - n), bits // 2 + 1):
+        ways = math.comb(n, both) * math.comb(n - both, bits - 2 * both) * 2 ** (bits - 2 * both) / math.comb(BITS, bits)
+        for opposite in range(both + 1):  # of segments of which both bits differ, those with equal counts
+            same = n - bits + both + opposite
+            cell = math.comb(same, outer) / math.comb(n, outer)
+            inner = 1 - (1 - math.comb(same, INNER) / math.comb(n, INNER)) ** SETS
+            total += ways * math.comb(both, opposite) / 2**both * (1 - (1 - cell * inner) ** tables)
+    return total
+
+
+def shape(n: int, radius: int = RADIUS) -> tuple[int, int]:
     """Segments that name a cell, and tables, for n fingerprints."""
     outer = max(2, math.ceil(math.log(max(n, 2) / CELL) / -math.log(FAR))) if n > CELL else 2
-    chance = NEAR**outer * (1 - (1 - NEAR**INNER) ** SETS)
-    return outer, max(4, math.ceil(math.log(0.03) / math.log(1 - chance)))
+    tables = 4
+    while chance(radius, outer, tables) < RECALL:
+        tables += 1
+    return outer, tables
 
 
 def segments(fp: np.ndarray) -> np.ndarray:
@@ -221,7 +236,7 @@ def _link(radius: int):
 
 def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges a, b that connect the nodes of prints (node, fp: distinct) that are within radius of each other."""
-    outer, tables = shape(prints.count())
+    outer, tables = shape(prints.count(), radius)
     cells = prints.select("node", "fp").mapInArrow(_cells(outer, tables), "cell long, node long, fp binary")
     return cells.groupBy("cell").applyInArrow(_link(radius), "a long, b long")
 

@@ -4,8 +4,8 @@ One shuffle on conv_id; a conversation's turns are sorted once and the context i
 result is that of the examples themselves.
 
 Defined results: rows whose conv_id, turn or role is null cannot be placed in a conversation and are left out; a null
-text counts as empty; identical rows count once; rows that tie on turn are ordered by role, then by text. Roles other
-than assistant are context only. Template marks inside a text are broken up ("<|" becomes "< |"), so a text cannot
+text counts as empty; identical rows count once; rows that tie on turn are ordered by role, then by text; texts are taken whole,
+however long (a conversation's examples must fit a task's memory one at a time). Roles other than assistant are context only. Template marks inside a text are broken up ("<|" becomes "< |"), so a text cannot
 forge a turn. Extra columns are ignored and an empty table gives an empty result.
 """
 
@@ -19,7 +19,9 @@ END = "<|end|>\n"
 
 def prefix_target_examples(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, n_context, prompt, target, text and the half-open span train_start:train_end, the only trainable characters of text."""
-    turns = conversations.select("conv_id", "turn", F.lower("role").alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("said")).dropna(subset=["conv_id", "turn", "role"]).distinct()
+    turns = conversations.select("conv_id", "turn", F.lower("role").alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("said")).dropna(subset=["conv_id", "turn", "role"])
+    # Laid out by conversation once; identical rows then go, and windows run, where they lie.
+    turns = turns.repartition("conv_id").distinct()
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "said")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     head = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))

@@ -116,9 +116,12 @@ def unblob(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a cluster, where executors could
+    not read what others wrote to their own disks, that is an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

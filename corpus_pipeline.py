@@ -2,19 +2,25 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with the columns of `documents`; its result is written as
 Parquet and read again as the next stage's docs, so a lost executor never costs more than the stage at work.
+
+Defined results, of every stage and of run(): columns beyond doc_id, text, lang, source and n_chars come back as they were, whatever
+their names; a null text, an empty one and one without words are not toxic, near nothing but an equal row, contaminated by nothing and
+stay as they are; very long texts are read whole; a null doc_id counts as one value; rows alike in doc_id and text are one document
+from near_duplicates on; ties go to the smallest doc_id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from tessera.llm import lsa, mixture, pii, simhash, toxicity
 from tessera.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the clause grammar finds toxic go."""
+    """Documents that the clause grammar finds toxic go; repeated rows are judged alike."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -22,22 +28,34 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of every group of near-duplicates the document of the smallest doc_id stays.
 
     Decisions meet the documents by a hash of doc_id and text (nulls included), the stage's one shuffle of texts. Rows alike in both
-    are one document: where it stays, one of them does, the first by its other columns.
+    are one document: where it stays, one of them does, the first by its other columns (as far as Spark can order them). The columns
+    of docs travel inside one struct, so none of their names can clash with those made here.
     """
     judged = simhash.near_duplicates(docs)
-    gone = judged.groupBy("row_key").agg(F.max("keep").alias("_stays")).where("NOT _stays").select(F.col("row_key").alias("_key"), "_stays")
-    met = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, "_key", "left")
-    twins = Window.partitionBy("_key").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
-    return met.withColumn("_n", F.row_number().over(twins)).where("_stays IS NULL AND _n = 1").select(*docs.columns)
+    gone = judged.groupBy("row_key").agg(F.max("keep").alias("stays")).where("NOT stays").select(F.col("row_key").alias("key"))
+    packed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = packed.join(gone, "key", "left_anti")
+    order = [F.col("row").getField(f.name) for f in docs.schema if f.name not in ("doc_id", "text") and _sorts(f.dataType)]
+    twins = Window.partitionBy("key").orderBy(*order, F.lit(0))
+    return left.withColumn("n", F.row_number().over(twins)).where("n = 1").select("row.*")
+
+
+def _sorts(kind: DataType) -> bool:
+    """Whether values of the type have an order: maps and variants, and what holds them, have none."""
+    if isinstance(kind, StructType):
+        return all(_sorts(f.dataType) for f in kind)
+    if isinstance(kind, ArrayType):
+        return _sorts(kind.elementType)
+    return not isinstance(kind, (MapType, VariantType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or a paraphrase of one, go."""
+    """Documents that hold a benchmark item, or a paraphrase of one, go; null and wordless texts hold none."""
     return lsa.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets; every document stays."""
+    """Personal data is replaced by its kind in brackets and n_chars renewed; every document stays, a null text stays null."""
     return pii.redacted(docs)
 
 

@@ -35,8 +35,7 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # As its SQL has it: clipped. The pipeline rakes under the bound.
-    return mixture.mix(table(spark, sf_dir, "documents"), bounded=False)
+    return mixture.mix(table(spark, sf_dir, "documents"), mixture.production_targets(spark))
 
 
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ by 64-bit hashes; a model given `buckets` folds them, for comparison). The vocab
 
 What is gathered therefore grows with the distinct words and with the input; the driver gets the sums over states only.
 
-In training a text is cut every SEGMENT words to bound memory (all segments count); scores are those of whole texts.
+Texts are whole sequences in training and in scoring, however long. Of a text too long to hold all its forward probabilities, those at
+the head of every stretch of STRETCH words are kept; the backward recursion goes from stretch to stretch, recomputes the forward
+probabilities of each and carries its own on, so counts are those of the whole text.
 
 Defined results: null, empty and wordless texts have n_words 0, log_likelihood 0.0 and null perplexity; repeated rows are
 trained on and scored each; a null doc_id stays null; extra columns are ignored; an empty table gives an empty result.
@@ -33,7 +35,8 @@ STATES = 8
 ITERATIONS = 3
 #: Words of a block, and words (counted once for each block that holds them) of a part.
 BLOCK, PART = 4_000_000, 500_000
-SEGMENT = 8192
+#: Words whose forward probabilities are held at once.
+STRETCH = 600_000
 CHUNK = 300_000
 #: Added to expected counts, so every sequence has a likelihood above 0.
 SMOOTH = 0.01
@@ -70,13 +73,18 @@ def lanes(first: np.ndarray, lengths: np.ndarray) -> Lanes:
     return Lanes(order, width, start, source, lane_at)
 
 
-def forward(m: Model, obs: np.ndarray, lay: Lanes, alpha: np.ndarray | None) -> np.ndarray:
-    """Scale of every word (their logarithms add up to the likelihood); fills alpha where it is given."""
+def forward(m: Model, obs: np.ndarray, lay: Lanes, alpha: np.ndarray | None, t0: int = 0, t1: int | None = None, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scales of the words of steps t0 to t1 (their logarithms add up to the likelihood) and the last forward probabilities.
+
+    head: forward probabilities of the step before t0; alpha: filled, where it is given, with those of each word.
+    """
     kind = m.e.dtype
-    scale, ones = np.empty(len(obs), dtype=kind), np.ones(len(m.pi), dtype=kind)
-    a = np.zeros((0, len(m.pi)), dtype=kind)
+    t1 = len(lay.start) if t1 is None else t1
+    base = int(lay.start[t0]) if t0 < t1 else 0
+    scale, ones = np.empty(int(lay.start[t1 - 1] + lay.width[t1 - 1]) - base if t0 < t1 else 0, dtype=kind), np.ones(len(m.pi), dtype=kind)
+    a = np.zeros((0, len(m.pi)), dtype=kind) if head is None else head
     block, at = None, 0
-    for t, (lo, n) in enumerate(zip(lay.start.tolist(), lay.width.tolist())):
+    for t, lo, n in zip(range(t0, t1), lay.start[t0:t1].tolist(), lay.width[t0:t1].tolist()):
         if block is None or lo + n > at + len(block):
             at = lo
             block = m.e[obs[lo : lo + max(n, CHUNK)]]
@@ -84,56 +92,60 @@ def forward(m: Model, obs: np.ndarray, lay: Lanes, alpha: np.ndarray | None) ->
         a = (a[:n] @ m.a) * e if t else m.pi * e
         c = a @ ones
         a *= (1 / c)[:, None]
-        scale[lo : lo + n] = c
+        scale[lo - base : lo - base + n] = c
         if alpha is not None:
-            alpha[lo : lo + n] = a
-    return scale
+            alpha[lo - base : lo - base + n] = a
+    return scale, a
 
 
 def expected(m: Model, obs: np.ndarray, lay: Lanes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Expected transitions and starts, and the log-likelihood; adds expected emissions to counts (K, B)."""
     k, kind = len(m.pi), m.e.dtype
-    alpha = np.empty((len(obs), k), dtype=kind)
-    scale = forward(m, obs, lay, alpha)
-    over = m.e[obs]
-    over *= (1 / scale)[:, None]
-    xi, back = np.zeros((k, k)), np.ones((0, k), dtype=kind)
+    # Stretches of steps; the forward probabilities at their heads are kept.
+    cuts = [0, *(np.flatnonzero(np.diff(lay.start // STRETCH)) + 1).tolist(), len(lay.start)]
+    heads: list[np.ndarray | None] = [None]
+    for lo, hi in zip(cuts[:-2], cuts[1:-1]):
+        heads.append(forward(m, obs, lay, None, lo, hi, heads[-1])[1])
+    xi, back, total = np.zeros((k, k)), np.ones((0, k), dtype=kind), 0.0
     turned = np.ascontiguousarray(m.a.T)
-    starts, widths = lay.start.tolist(), lay.width.tolist()
-    for t in range(len(starts) - 1, -1, -1):
-        lo, n = starts[t], widths[t]
-        if len(back) < n:
-            back = np.concatenate([back, np.ones((n - len(back), k), dtype=kind)])
-        if t:
-            x = over[lo : lo + n]
-            x *= back
-            before = alpha[starts[t - 1] : starts[t - 1] + n]
-            xi += before.T @ x
-            alpha[lo : lo + n] *= back
-            back = x @ turned
-        else:
-            alpha[lo : lo + n] *= back
-    for j in range(k):
-        counts[j] += np.bincount(obs, alpha[:, j], minlength=counts.shape[1])
-    return xi * m.a, alpha[: widths[0]].sum(axis=0, dtype=np.float64), float(np.log(scale.astype(np.float64)).sum())
-
-
-def chunks(first: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, begin and length of sequences in chunks of about CHUNK words, alike in length; long ones cut every `segment` words (0: never)."""
+    first = np.zeros(k)
+    for part in range(len(cuts) - 2, -1, -1):
+        t0, t1 = cuts[part], cuts[part + 1]
+        base, end = int(lay.start[t0]), int(lay.start[t1 - 1] + lay.width[t1 - 1])
+        alpha = np.empty((end - base, k), dtype=kind)
+        scale, _ = forward(m, obs, lay, alpha, t0, t1, heads[part])
+        total += float(np.log(scale.astype(np.float64)).sum())
+        over = m.e[obs[base:end]]
+        over *= (1 / scale)[:, None]
+        starts, widths = (lay.start[t0:t1] - base).tolist(), lay.width[t0:t1].tolist()
+        for t in range(t1 - t0 - 1, -1, -1):
+            lo, n = starts[t], widths[t]
+            if len(back) < n:
+                back = np.concatenate([back, np.ones((n - len(back), k), dtype=kind)])
+            if t or t0:
+                x = over[lo : lo + n]
+                x *= back
+                before = alpha[starts[t - 1] : starts[t - 1] + n] if t else heads[part][:n]
+                xi += before.T @ x
+                alpha[lo : lo + n] *= back
+                back = x @ turned
+            else:
+                alpha[lo : lo + n] *= back
+                first = alpha[:n].sum(axis=0, dtype=np.float64)
+        del over
+        for j in range(k):
+            counts[j] += np.bincount(obs[base:end], alpha[:, j], minlength=counts.shape[1])
+    return xi * m.a, first, total
+
+
+def chunks(first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, begin and length of sequences in chunks of about CHUNK words, alike in length."""
     lengths = np.diff(first)
-    row = np.arange(len(lengths))
-    if segment:
-        parts = np.maximum(1, -(-lengths // segment))
-        row = np.repeat(row, parts)
-        begin = first[:-1][row] + segment * within(parts)
-        lengths = np.minimum(first[1:][row] - begin, segment)
-    else:
-        begin = first[:-1]
     order = np.argsort(-lengths, kind="stable")
-    row, begin, lengths = row[order], begin[order], lengths[order]
+    begin, lengths = first[:-1][order], lengths[order]
     cut = np.cumsum(lengths) // CHUNK
     for lo, hi in zip(np.flatnonzero(np.diff(cut, prepend=-1)), np.append(np.flatnonzero(np.diff(cut)) + 1, len(cut))):
-        yield row[lo:hi], begin[lo:hi], lengths[lo:hi]
+        yield order[lo:hi], begin[lo:hi], lengths[lo:hi]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -220,9 +232,9 @@ def _block(row: pa.Table | pa.RecordBatch, i: int, buckets: int, parts: int) ->
     keys, number = np.unique(words % np.uint64(buckets) if buckets else words, return_inverse=True)
     part = (keys % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    obs = place[number][get("low", np.uint16).astype(np.int64) | (get("high", np.uint16).astype(np.int64) << 16)]
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    obs = place[number][get("low", np.uint16).astype(np.uint32) | (get("high", np.uint16).astype(np.uint32) << np.uint32(16))]
     return _Block(row.column("block")[i].as_py(), obs, get("first", np.int64), keys[order], np.searchsorted(part[order], np.arange(parts + 1)))
 
 
@@ -265,15 +277,20 @@ def _first_total(k: int):
     return run
 
 
-def _emissions(b: _Block, m: Fitted, sums: pa.Table | None) -> np.ndarray:
-    """(words, K): probabilities of the block's words."""
-    k = len(m.pi)
+def _emissions(b: _Block, m: Fitted, sums: pa.Table | None, kind: type) -> np.ndarray:
+    """(words, K): probabilities of the block's words, of the given precision."""
+    out = np.empty((len(b.keys), len(m.pi)), dtype=kind)
+    total = m.total.astype(kind)
     if sums is None:
-        return _noise(b.keys, k) / m.total
-    parts = sums.column("part").to_numpy()
+        for lo in range(0, len(out), CHUNK):
+            np.divide(_noise(b.keys[lo : lo + CHUNK], len(m.pi)), total, out=out[lo : lo + CHUNK], casting="same_kind")
+        return out
     blob = sums.column("sums")
-    found = [_unpack(blob[int(i)].as_py(), np.float32) for i in np.argsort(parts)]
-    return (np.concatenate(found) if found else np.zeros(0)).reshape(-1, k) / m.total
+    # Parts come one by one, so there is never a second table of all words.
+    for i, part in enumerate(sums.column("part").to_pylist()):
+        lo, hi = b.cuts[part], b.cuts[part + 1]
+        np.divide(_unpack(blob[i].as_py(), np.float32).reshape(-1, len(m.pi)), total, out=out[lo:hi])
+    return out
 
 
 def _over(words: DataFrame, m: Fitted, each, schema: str) -> DataFrame:
@@ -336,14 +353,15 @@ def iterate(words: DataFrame, m: Fitted) -> tuple[Fitted, float]:
     def count(row: pa.Table, i: int, sums: pa.Table | None) -> pa.Table:
         b = _block(row, i, plain.buckets, plain.parts)
         # Training needs no more than single precision; scores are computed in double.
-        model = Model(*(x.astype(np.float32) for x in (plain.pi, plain.a, _emissions(b, plain, sums))))
+        model = Model(plain.pi.astype(np.float32), plain.a.astype(np.float32), _emissions(b, plain, sums, np.float32))
         counts = np.zeros((k, len(b.keys)))
         xi, starts, total = np.zeros((k, k)), np.zeros(k), 0.0
-        for _, begin, lengths in chunks(b.first, SEGMENT):
+        for _, begin, lengths in chunks(b.first):
             lay = lanes(begin, lengths)
             if len(lay.order):
                 x, s, ll = expected(model, b.obs[lay.source], lay, counts)
                 xi, starts, total = xi + x, starts + s, total + ll
+        del model
         return _sent(b, counts.T, np.concatenate([xi.ravel(), starts, [total]]))
 
     counts = _kept(_over(words, m, count, _SENT), "counts")
@@ -372,10 +390,10 @@ def likelihood(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Exact log-likelihood of each sequence; 0.0 for empty ones."""
     out = np.zeros(len(first) - 1)
     obs = (ids % max(1, len(m.e))).astype(np.int64)
-    for row, begin, lengths in chunks(first, 0):
+    for row, begin, lengths in chunks(first):
         lay = lanes(begin, lengths)
         if len(lay.order):
-            scale = forward(m, obs[lay.source], lay, None)
+            scale, _ = forward(m, obs[lay.source], lay, None)
             out[row[lay.order]] = np.bincount(lay.lane, np.log(scale), minlength=len(lay.order))
     return out
 
@@ -385,7 +403,7 @@ def score(words: DataFrame, m: Fitted) -> DataFrame:
 
     def run(row: pa.Table, i: int, sums: pa.Table | None) -> pa.Table:
         b = _block(row, i, plain.buckets, plain.parts)
-        found = likelihood(Model(plain.pi, plain.a, _emissions(b, plain, sums)), b.obs, b.first)
+        found = likelihood(Model(plain.pi, plain.a, _emissions(b, plain, sums, np.float64)), b.obs, b.first)
         ids = row.column("ids")[i].values
         return pa.table({"doc_id": ids, "n_words": pa.array(np.diff(b.first)), "ll": pa.array(found)})
 

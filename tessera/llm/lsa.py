@@ -5,22 +5,29 @@
 2. Randomised SVD of the passages' TF-IDF matrix A: each task adds up its share of Y = A'(A G) for one fixed Gaussian G of
    RANK columns; the eigendecomposition of G'Y (RANK x RANK) turns Y into right singular vectors and values. One pass over
    the corpus; what moves is one BUCKETS x RANK matrix for each task.
-3. Windows of two adjacent passages, and likewise of every benchmark item, are projected to whitened latent space; every window
-   of every document is compared with every window of every item, and pairs of a cosine of COSINE or more are candidates.
-4. Candidates are verified on the words themselves, in the region of three windows around the window: the item's rarest words
-   (its answer) must occur to ANSWER at least, and its longest common subsequence with the region must reach LCS of the item.
-
-Items of over 64 words are verified in parts of 64 words, the last one ending with the item. The model that tasks receive has a
-fixed size but for the benchmark itself, which is small by nature; items are processed in groups, so their number bounds no array.
-
-Defined results: null, empty and wordless texts match nothing; items with fewer than MIN_WORDS words, or null ones, cannot be
-recognised and match nothing; rows that agree in doc_id report once for each item; an empty benchmark or table gives an empty
-result; extra columns are ignored.
+3. Windows of two adjacent passages, and likewise of every benchmark item, are projected to whitened latent space; a window of a
+   document and an item are a candidate pair where the cosine with some window of the item is COSINE or more.
+4. Candidates are verified on the words themselves, in the region around the window that an item of that length can reach: the
+   item's rarest words (its answer) must occur to ANSWER at least, and the longest common subsequence of item and region, by
+   bit vectors of as many words as the item needs, must reach LCS of the item.
+
+All three conditions must hold, so they are tried in the order of their cost: the answer words are looked up in an index of the
+items first, the exact cosine of each pair left follows, then the sequence. What comes out is what comparing every window of every
+document with every window of every item would give, but the work grows with the answer words that texts hold, not with the number of
+items. Items travel to the tasks in slices of SLICE, one pass for each, so their number bounds no array.
+
+Items of fewer than MIN_WORDS words have no passage to compare; they match where all their words stand in a row.
+
+Defined results: null, empty and wordless texts match nothing, nor do null, empty and wordless items or those without item_id; of
+equally rare words of an item those of the smallest hash are its answer; texts and items are taken whole, however long; rows that
+agree in doc_id report once for each item, and so do items that agree in item_id; an empty benchmark or table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -28,18 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan, summed, tokenised, unblob, within
+from .common import mix, scan, summed, tokenised, unblob, within
 
 HALF = 16
 BUCKETS = 1 << 15
 RANK = 32
-COSINE = 0.5
+#: Paraphrases down to the LCS limit have this or more to 0.95 (README); the checks that follow remove the rest.
+COSINE = 0.3
 LCS, ANSWER, ANSWER_WORDS = 0.5, 0.6, 5
 MIN_WORDS = 8
-PART = 64
-#: Half windows before and after a window's first that its region holds.
-BEFORE, AFTER = 2, 4
-_STEP = 20_000
+#: Items that one pass looks for.
+SLICE = 100_000
+_STEP, _BITS = 20_000, 64
 
 
 class Blocks(NamedTuple):
@@ -103,21 +110,33 @@ def factor(y: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items(NamedTuple):
-    """One group of benchmark items, ready for search."""
+    """Benchmark items of one length class, ready for search."""
 
     query: np.ndarray  # (q, rank) unit vectors
-    query_part: np.ndarray  # first query of each part that has one
-    item: np.ndarray  # item_id of each part
-    words: np.ndarray  # (parts, PART) uint32
+    query_first: np.ndarray  # item i has queries query_first[i]:query_first[i + 1]
+    item: np.ndarray  # item_id of each
+    words: np.ndarray  # (items, a multiple of 64) uint32
     length: np.ndarray
-    answer: np.ndarray  # sorted (word << 32 | part)
-    need: np.ndarray  # answer words that each part needs
+    answer: np.ndarray  # sorted (word << 32 | item)
+    number: np.ndarray  # which of its item's answer words each is
+    need: np.ndarray  # answer words that each item needs
     total: np.ndarray
+    before: int  # half windows before and after a window's first that its region holds
+    after: int
+
+
+class Short(NamedTuple):
+    """Items of one length under MIN_WORDS."""
+
+    item: np.ndarray
+    words: np.ndarray  # (items, length) uint32, sorted by key
+    key: np.ndarray
 
 
 class Space(NamedTuple):
     projection: np.ndarray  # (BUCKETS + 1, rank): idf times the whitened basis
     groups: list[Items]
+    short: list[Short]
 
 
 def windows(b: Blocks, projection: np.ndarray) -> np.ndarray:
@@ -131,51 +150,75 @@ def windows(b: Blocks, projection: np.ndarray) -> np.ndarray:
     return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
 
 
-def prepare(ids: list, words: list[np.ndarray], idf: np.ndarray, projection: np.ndarray, group: int = 256) -> list[Items]:
-    """Items of at least MIN_WORDS words, cut into parts, in groups."""
-    parts = []
+def _run_key(words: np.ndarray, n: int) -> np.ndarray:
+    """A key of every n words in a row."""
+    key = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
+    for j in range(n):
+        key = mix(key * np.uint64(31) + words[j : j + len(key)].astype(np.uint64) + np.uint64(j))
+    return key
+
+
+def prepare(ids: list, words: list[np.ndarray], idf: np.ndarray, projection: np.ndarray) -> tuple[list[Items], list[Short]]:
+    """Items by class of length, and those of fewer than MIN_WORDS words."""
+    by: dict[int, list[tuple]] = {}
     for item, w in zip(ids, words):
-        if len(w) >= MIN_WORDS:
-            starts = sorted({*range(0, max(1, len(w) - PART + 1), PART), max(0, len(w) - PART)})
-            parts += [(item, w[s : s + PART]) for s in starts]
-    out = []
-    for lo in range(0, len(parts), group):
-        some = parts[lo : lo + group]
-        first = np.cumsum([0, *(len(w) for _, w in some)])
-        b = blocks(np.concatenate([w for _, w in some]), first)
+        if len(w):
+            by.setdefault(-len(w) if len(w) < MIN_WORDS else -(-len(w) // _BITS), []).append((item, w))
+    out, short = [], []
+    for kind, some in sorted(by.items()):
+        if kind < 0:
+            table = np.stack([w for _, w in some])
+            key = np.concatenate([_run_key(w, -kind) for _, w in some])
+            order = np.argsort(key, kind="stable")
+            short.append(Short(np.array([i for i, _ in some])[order], table[order], key[order]))
+            continue
+        b = blocks(np.concatenate([w for _, w in some]), np.cumsum([0, *(len(w) for _, w in some)]))
         tail = np.append(b.row[1:] != b.row[:-1], True) & (np.bincount(b.row)[b.row] > 1)
         query = windows(b, projection)[~tail]
-        table = np.zeros((len(some), PART), dtype=np.uint32)
-        keys, total = [], []
+        table = np.zeros((len(some), kind * _BITS), dtype=np.uint32)
+        keys, number, total = [], [], []
         for p, (_, w) in enumerate(some):
             table[p, : len(w)] = w
             unique = np.unique(w)
             rare = unique[np.argsort(-idf[unique & np.uint32(BUCKETS - 1)], kind="stable")][:ANSWER_WORDS]
             keys.append((rare.astype(np.uint64) << np.uint64(32)) | np.uint64(p))
+            number.append(np.arange(len(rare)))
             total.append(len(rare))
-        total = np.array(total)
-        row = b.row[~tail]
-        out.append(Items(query, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), np.array([i for i, _ in some]), table, np.array([len(w) for _, w in some]), np.sort(np.concatenate(keys)), np.ceil(ANSWER * total - 1e-9).astype(int), total))
-    return out
+        answer, number, total = np.concatenate(keys), np.concatenate(number), np.array(total)
+        order = np.argsort(answer)
+        # An item of 64 words has four passages: a window may be its first (all others follow) or its last.
+        reach = kind * _BITS // HALF
+        before, after = (reach // 2, reach) if kind == 1 else (reach, reach + 1)
+        first = np.searchsorted(b.row[~tail], np.arange(len(some) + 1))
+        out.append(Items(query, first, np.array([i for i, _ in some]), table, np.array([len(w) for _, w in some]), answer[order], number[order], np.ceil(ANSWER * total - 1e-9).astype(int), total, before, after))
+    return out, short
 
 
 def lcs(a: np.ndarray, la: np.ndarray, b: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of each row of a (n, PART; la words of it) and b (n, m; where there), by bit vectors."""
+    """Longest common subsequence of each row of a (n, a multiple of 64; la words of it) and b (n, m; where there), by bit vectors."""
+    n, size = a.shape
+    words = size // _BITS
     one, ones = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
-    v = np.full(len(a), ones)
-    bit = one << np.arange(PART, dtype=np.uint64)
-    inside = np.arange(PART) < la[:, None]
+    v = np.full((n, words), ones)
+    bit = one << np.arange(_BITS, dtype=np.uint64)
+    inside = np.arange(size) < la[:, None]
     for j in range(b.shape[1]):
-        m = (((a == b[:, j : j + 1]) & inside & there[:, j : j + 1]) * bit).sum(axis=1, dtype=np.uint64)
+        m = (((a == b[:, j : j + 1]) & inside & there[:, j : j + 1]).reshape(n, words, _BITS) * bit).sum(axis=2, dtype=np.uint64)
         u = v & m
-        v = (v + u) | (v - u)
-    kept = np.where(la < PART, (one << np.minimum(la, PART - 1).astype(np.uint64)) - one, ones)
-    return np.bitwise_count(~v & kept).astype(np.int64)
-
-
-def _answers(b: Blocks, items: Items) -> np.ndarray:
-    """Sorted, distinct (block * parts + part) * ANSWER_WORDS * 2 + number of the answer word, for every answer word in the blocks."""
-    parts = len(items.item)
+        rest, carry = v - u, np.zeros(n, dtype=np.uint64)
+        for w in range(words):
+            added = v[:, w] + u[:, w]
+            over = added < u[:, w]
+            added += carry
+            carry = (over | (added < carry)).astype(np.uint64)
+            v[:, w] = added | rest[:, w]
+    kept = np.clip(la[:, None] - np.arange(words) * _BITS, 0, _BITS)
+    mask = np.where(kept < _BITS, (one << np.minimum(kept, _BITS - 1).astype(np.uint64)) - one, ones)
+    return np.bitwise_count(~v & mask).sum(axis=1, dtype=np.int64)
+
+
+def _answered(b: Blocks, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window, item and number of the item's answer words in the window's region, where these are as many as the item needs."""
     word = (items.answer >> np.uint64(32)).astype(np.uint32)
     flat = b.words.ravel()
     # Most words are no answer of any item: a small table of their low bits tells that at once.
@@ -183,61 +226,69 @@ def _answers(b: Blocks, items: Items) -> np.ndarray:
     seen[word & np.uint32(0xFFFF)] = True
     at = np.flatnonzero(seen[flat & np.uint32(0xFFFF)] & (b.bucket.ravel() != BUCKETS))
     lo, hi = np.searchsorted(word, flat[at], side="left"), np.searchsorted(word, flat[at], side="right")
-    n = hi - lo
-    index = np.repeat(lo, n) + within(n)
-    part = (items.answer[index] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    number = np.zeros(len(items.answer), dtype=np.int64)
-    by = np.argsort(items.answer & np.uint64(0xFFFFFFFF), kind="stable")
-    number[by] = within(np.bincount((items.answer & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=parts))
-    return np.unique((np.repeat(at // HALF, n) * parts + part) * (2 * ANSWER_WORDS) + number[index])
+    index = np.repeat(lo, hi - lo) + within(hi - lo)
+    count = len(items.item)
+    block, item = np.repeat(at // HALF, hi - lo), (items.answer[index] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # An answer word counts for every window whose region holds its block.
+    code = np.unique((block * count + item) * ANSWER_WORDS + items.number[index])
+    block, item, number = code // ANSWER_WORDS // count, code // ANSWER_WORDS % count, code % ANSWER_WORDS
+    spread = np.arange(-items.after + 1, items.before + 1)
+    window = (block[:, None] + spread).ravel()
+    block, item, number = (np.repeat(x, len(spread)) for x in (block, item, number))
+    ok = (window >= 0) & (window < len(b.row))
+    ok &= b.row[np.clip(window, 0, len(b.row) - 1)] == b.row[block]
+    pair, start = np.unique((window * count + item)[ok], return_inverse=True)
+    mask = np.zeros(len(pair), dtype=np.int64)
+    np.bitwise_or.at(mask, start, 1 << number[ok])
+    found = np.bitwise_count(mask.astype(np.uint64)).astype(np.int64)
+    ok = found >= items.need[pair % count] if count else found > 0
+    return pair[ok] // count, pair[ok] % count, found[ok]
+
+
+def _cosines(vectors: np.ndarray, window: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
+    """The largest cosine of each window with a window of the item."""
+    out = np.full(len(window), -1.0, dtype=np.float32)
+    first, n = items.query_first[item], np.diff(items.query_first)[item]
+    for k in range(int(n.max()) if len(n) else 0):
+        on = np.flatnonzero(n > k)
+        out[on] = np.maximum(out[on], np.einsum("ij,ij->i", vectors[window[on]], items.query[first[on] + k]))
+    return out
 
 
 def search(space: Space, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Row, item_id, LCS share and answer share of every verified match of the texts' words."""
     b = blocks(ids, first)
-    if not len(b.row) or not space.groups:
+    if not len(b.row):
         return
-    vectors = windows(b, space.projection)
-    n = len(b.row)
+    for s in space.short:
+        n = s.words.shape[1]
+        key = _run_key(ids, n)
+        lo, hi = np.searchsorted(s.key, key, side="left"), np.searchsorted(s.key, key, side="right")
+        at, which = np.repeat(np.arange(len(key)), hi - lo), np.repeat(lo, hi - lo) + within(hi - lo)
+        row = np.searchsorted(first, at, side="right") - 1
+        ok = (at + n <= first[row + 1]) & (ids[at[:, None] + np.arange(n)] == s.words[which]).all(axis=1)
+        yield row[ok], s.item[which[ok]], np.ones(int(ok.sum())), np.ones(int(ok.sum()))
+    vectors = windows(b, space.projection) if space.groups else None
     for items in space.groups:
-        parts = len(items.item)
-        hits = []
-        for lo in range(0, n, _STEP):
-            near = np.maximum.reduceat(vectors[lo : lo + _STEP] @ items.query.T, items.query_part, axis=1) >= COSINE
-            hits.append(np.flatnonzero(near) + lo * parts)
-        pair = np.concatenate(hits)
-        # Which answer words stand in the region of a window: bits of the blocks around it, of the same text.
-        code = _answers(b, items)
-        key, number = code // (2 * ANSWER_WORDS), code % (2 * ANSWER_WORDS)
-        bits = np.zeros(len(pair), dtype=np.int64)
-        block, part = pair // parts, pair % parts
-        where, start = np.unique(key, return_index=True)
-        if not len(where):
-            continue
-        mask = np.add.reduceat(1 << number, start)
-        for d in range(-BEFORE, AFTER):
-            k = (block + d) * parts + part
-            j = np.minimum(np.searchsorted(where, k), len(where) - 1)
-            at = np.clip(block + d, 0, n - 1)
-            ok = (where[j] == k) & (block + d == at) & (b.row[at] == b.row[block])
-            bits[ok] |= mask[j[ok]]
-        found = np.bitwise_count(bits.astype(np.uint64))
-        ok = found >= items.need[part]
-        block, part, found = block[ok], part[ok], found[ok]
-        for lo in range(0, len(block), 4096):
-            k, p = block[lo : lo + 4096], part[lo : lo + 4096]
-            around = k[:, None] + np.arange(-BEFORE, AFTER)
-            at = np.clip(around, 0, n - 1)
+        block, item, found = _answered(b, items)
+        near = _cosines(vectors, block, item, items) >= COSINE
+        block, item, found = block[near], item[near], found[near]
+        step = max(1, 262_144 // items.words.shape[1])
+        for lo in range(0, len(block), step):
+            k, p = block[lo : lo + step], item[lo : lo + step]
+            around = k[:, None] + np.arange(-items.before, items.after)
+            at = np.clip(around, 0, len(b.row) - 1)
             there = (at == around) & (b.row[at] == b.row[k][:, None])
             region = b.words[at].reshape(len(k), -1)
             inside = np.repeat(there, HALF, axis=1) & (b.bucket[at].reshape(len(k), -1) != BUCKETS)
             share = lcs(items.words[p], items.length[p], region, inside) / items.length[p]
             good = share >= LCS
-            yield b.row[k[good]], items.item[p[good]], share[good], (found[lo : lo + 4096] / items.total[p])[good]
+            yield b.row[k[good]], items.item[p[good]], share[good], (found[lo : lo + step] / items.total[p])[good]
+
 
+def fit(words: DataFrame, benchmark: DataFrame) -> Iterator[Space]:
+    """The latent space of all passages, with the items in it slice by slice."""
 
-def fit(words: DataFrame, benchmark: DataFrame) -> Space:
-    """The latent space of all passages and the items in it."""
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(BUCKETS + 1)
         for batch in batches:
@@ -260,40 +311,51 @@ def fit(words: DataFrame, benchmark: DataFrame) -> Space:
     y = summed(words.select("words"), project, BUCKETS * RANK).reshape(BUCKETS, RANK) * idf[:BUCKETS, None]
     u, s = factor(y, g[:BUCKETS]) if counts[BUCKETS] else (np.zeros((BUCKETS, 1)), np.ones(1))
     projection = (np.append(u / s, np.zeros((1, u.shape[1])), axis=0) * idf[:, None]).astype(np.float32)
-    rows = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").collect()
-    texts = pa.array([r.text for r in rows], pa.string())
-    hashes = [w.hash[a:z].astype(np.uint32) for _, _, w in scan(texts) for a, z in zip(w.first[:-1], w.first[1:])]
-    return Space(projection, prepare([r.item_id for r in rows], hashes, idf, projection))
+    rows = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator()
+    while held := list(islice(rows, SLICE)):
+        hashes = [w.hash[a:z].astype(np.uint32) for _, _, w in scan(pa.array([r.text for r in held], pa.string())) for a, z in zip(w.first[:-1], w.first[1:])]
+        yield Space(projection, *prepare([r.item_id for r in held], hashes, idf, projection))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, lcs (largest share of the item in sequence) and answer (largest share of its rarest words) of every match."""
     words = tokenised(docs)
-    held = words.sparkSession.sparkContext.broadcast(fit(words, benchmark))
+    context = docs.sparkSession.sparkContext
     item = benchmark.schema["item_id"].dataType
     kind = words.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id {item.simpleString()}, lcs double, answer double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, items, share, answer in search(held.value, *unblob(batch.column(1), np.uint32)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(items), pa.array(share), pa.array(answer)], names=["doc_id", "item_id", "lcs", "answer"])
+    def over(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row, items, share, answer in search(held.value, *unblob(batch.column(1), np.uint32)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(items), pa.array(share), pa.array(answer)], names=["doc_id", "item_id", "lcs", "answer"])
+
+        return words.select("doc_id", "words").mapInArrow(run, schema)
 
-    found = words.select("doc_id", "words").mapInArrow(run, f"doc_id {kind}, item_id {item.simpleString()}, lcs double, answer double")
+    found = docs.sparkSession.createDataFrame([], schema)
+    for space in fit(words, benchmark):
+        found = found.unionByName(over(context.broadcast(space)))
     return found.groupBy("doc_id", "item_id").agg(F.round(F.max("lcs"), 4).alias("lcs"), F.round(F.max("answer"), 4).alias("answer"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no item, with their own columns: each batch is filtered where it is searched."""
     words = tokenised(docs)
-    held = words.sparkSession.sparkContext.broadcast(fit(words, benchmark))
     at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(len(batch), dtype=bool)
-            for lo, _, w in scan(batch.column(at)):
-                for row, *_ in search(held.value, w.hash.astype(np.uint32), w.first):
-                    keep[lo + row] = False
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def over(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), dtype=bool)
+                for lo, _, w in scan(batch.column(at)):
+                    for row, *_ in search(held.value, w.hash.astype(np.uint32), w.first):
+                        keep[lo + row] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    kept = docs
+    for space in fit(words, benchmark):
+        kept = kept.mapInArrow(over(docs.sparkSession.sparkContext.broadcast(space)), docs.schema)
+    return kept

@@ -97,6 +97,17 @@ def snippet(content: Column, query: Column, width: int = 300, reach: int = 160)
     return F.when(at > 0, shorten(part, width)).otherwise(F.lit(""))
 
 
+def excerpt(headings: Column, context: Column, content: Column, query: Column) -> Column:
+    """What is shown of a source: headings in brackets, then of context and content the snippet, or the beginning where nothing of the query occurs."""
+
+    def part(c: Column, width: int) -> Column:
+        found = snippet(c, query)
+        return F.when(F.length(found) > 0, found).otherwise(shorten(text(c), width))
+
+    parts = F.array(F.coalesce(context_label(headings), F.lit("")), part(context, 140), part(content, 180))
+    return F.trim(F.array_join(F.filter(parts, lambda x: F.length(x) > 0), " "))
+
+
 def fingerprint(content: Column) -> Column:
     """SHA-1 of the content with unified line ends and without outer white space."""
     return F.sha1(strip(F.replace(text(content), F.lit("\r\n"), F.lit("\n"))).cast("binary"))

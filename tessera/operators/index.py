@@ -51,8 +51,13 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, content: str) -> DataFra
     hits = rows.select("key", "length", F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
     tf = hits.groupBy("token", "key", "length").agg(F.count("*").alias("tf"))
     weighted = tf.join(tf.groupBy("token").agg(F.count("*").alias("df")), "token").crossJoin(stats)
-    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    return weighted.select("token", "key", part.alias("part")).join(wanted, "token").groupBy("query_id", "key").agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
+    return scored(weighted.join(wanted, "token"), F.col("avgdl"), "key")
+
+
+def scored(weighted: DataFrame, avgdl, key: str) -> DataFrame:
+    """query_id, key and score from query_id, key, tf, length, df, n and the weight of the token in the query."""
+    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / avgdl))
+    return weighted.groupBy("query_id", key).agg(F.sum(part * F.col("weight")).alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: list[str], *order) -> DataFrame:

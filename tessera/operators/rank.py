@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 RRF_K = 60
-EXTERNAL = ("000 외부 논문 핵심", "external", "paper core")
+#: Parts of paths that mark what a store holds of others; external_penalty() takes other marks.
+EXTERNAL = ("external",)
 LOW, HIGH, FLOOR = 0.45, 0.75, 0.25
 
 
@@ -35,10 +36,10 @@ def folder_prior(query: Column, path: Column) -> Column:
     return F.when((F.length(T.text(path)) > 0) & (F.size(words) > 0), 0.12 * T.term_hits(folder, words) + whole).otherwise(0.0)
 
 
-def external_penalty(query: Column, title: Column, path: Column) -> Column:
+def external_penalty(query: Column, title: Column, path: Column, marks: tuple[str, ...] = EXTERNAL) -> Column:
     low = F.lower(T.text(path))
     marked = F.lit(False)
-    for m in EXTERNAL:
+    for m in marks:
         marked = marked | F.contains(low, F.lit(m))
     q = T.lower_trim(query)
     named = (F.length(q) > 0) & F.contains(F.lower(T.text(title)), q)
@@ -120,7 +121,12 @@ def exact_notes(pairs: DataFrame, per_cluster: int = 2) -> DataFrame:
 
     pairs: prepared documents, each with its cluster, with prepared queries.
     """
-    scored = pairs.withColumn("score", title_score()).where("score > 0").withColumn("arb", arbitration(F.col("score"))).select("query_id", "seq", "uri", "cluster", "score", "arb")
+    return resolved(pairs.withColumn("score", title_score()).where("score > 0").withColumn("arb", arbitration(F.col("score"))), per_cluster)
+
+
+def resolved(scored: DataFrame, per_cluster: int = 2) -> DataFrame:
+    """exact_notes() of pairs with their score (title_score, above 0) and arb (arbitration)."""
+    scored = scored.select("query_id", "seq", "uri", "cluster", "score", "arb")
     best = scored.groupBy("query_id", "cluster").agg(F.max("score").alias("score"), F.max("arb").alias("arb"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("arb").desc(), F.col("cluster"))
     ranked = best.select("*", F.row_number().over(order).alias("n"), F.lead("score").over(order).alias("score2"), F.lead("arb").over(order).alias("arb2")).where("n = 1 AND score >= 5.2")

@@ -90,9 +90,28 @@ def corpus(spark: SparkSession, sf_dir: str) -> S.Corpus:
     return S.Corpus(searchable(spark, sf_dir).drop("doc_id"))
 
 
+_BUILT: dict[tuple[str, str], S.Index] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The index of documents with vectors, built once in a session and then read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = S.built(corpus(spark, sf_dir).embedded())
+    return _BUILT[key]
+
+
 _FIELDED = f"(SELECT doc_id, concat_ws(chr(10), title, title, title, headings[1], headings[1], aliases[1], tags[1], links[1], concat('[Headings] ', headings[1], chr(10), chr(10), '[Passage]', chr(10), content)) AS text FROM {_DOC_SQL})"
 
 
+@query(f"SELECT count(*) AS n, CAST(sum(len({tok('text')})) AS BIGINT) AS words, count(*) AS n_vectors FROM {_FIELDED}")
+def index_build(spark, sf_dir):
+    """Writes the index anew; its statistics."""
+    _BUILT.pop((spark.sparkContext.applicationId, sf_dir), None)
+    ix = search_index(spark, sf_dir)
+    return ix.stats.crossJoin(ix.vectors.agg(F.count("*").alias("n_vectors"))).select("n", "words", "n_vectors")
+
+
 @query(_bm25_sql("text", _Q, 10, _FIELDED))
 def bm25_fielded(spark, sf_dir):
     return _ranked(index.bm25_top(S.indexed(searchable(spark, sf_dir)), asked(spark), "doc_id", "indexed", 10))
@@ -222,7 +241,7 @@ def title_score(spark, sf_dir):
 
 @query()
 def exact_note_resolution(spark, sf_dir):
-    return S.exact(asked(spark, _EXACT_ASKED), corpus(spark, sf_dir), 5).select("query_id", "uri", "cluster", "rank", "confidence")
+    return S.exact(asked(spark, _EXACT_ASKED), search_index(spark, sf_dir), 5).select("query_id", "uri", "cluster", "rank", "confidence")
 
 
 @query(f"""WITH b AS ({_bm25_sql('text', _Q, 30)}), j AS (SELECT query_id, doc_id, score, rank, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS n FROM b JOIN documents USING (doc_id))
@@ -239,7 +258,7 @@ j AS (SELECT query_id, seq, rank, path, score + {_BOOST_SQL} - CASE WHEN contain
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(path) ORDER BY round(adjusted, 5) DESC, rank) AS n FROM j)
 SELECT query_id, seq AS doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(adjusted, 5) DESC, rank) AS INTEGER) AS rank FROM c WHERE n <= 2""")
 def keyword_ranking(spark, sf_dir):
-    return S.keyword_ranking(asked(spark), corpus(spark, sf_dir), 10).select("query_id", F.col("seq").alias("doc_id"), "rank")
+    return S.keyword_ranking(asked(spark), search_index(spark, sf_dir), 10).select("query_id", F.col("seq").alias("doc_id"), "rank")
 
 
 def _vectors(spark, sf_dir):
@@ -398,13 +417,15 @@ def keyword_snippet(spark, sf_dir):
 @query(f"""WITH h AS (SELECT DISTINCT query_id, doc_id FROM ({_SNIP.format(q=_Q)})), r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h WHERE query_id <> 3)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, concat('local://', source, '/doc', doc_id) AS uri, CAST(0.7 AS DOUBLE) AS confidence, 'FORGE' AS verdict FROM r JOIN documents USING (doc_id) WHERE rank <= 5""")
 def keyword_search(spark, sf_dir):
-    found = S.search(asked(spark), corpus(spark, sf_dir), "keyword")
+    found = S.search(asked(spark), search_index(spark, sf_dir), "keyword")
     return found.where("method = 'keyword'").select("query_id", "rank", "uri", "confidence", "verdict")
 
 
 def _search(mode):
     def run(spark, sf_dir):
-        return S.search(asked(spark, (*ASKED, (5, "alias 77"))), corpus(spark, sf_dir).embedded(), mode)
+        q, ix = asked(spark, (*ASKED, (5, "alias 77"))), search_index(spark, sf_dir)
+        embedded = S.embed_with_pictures(q.withColumn("picture", F.when(F.col("query_id") != 4, F.encode("query", "UTF-8")))) if mode == "multimodal" else None
+        return S.search(q, ix, mode, embedded=embedded).drop("snippet")
 
     run.__name__ = f"{mode}_search"
     return query()(run)
@@ -415,13 +436,12 @@ semantic_search, hybrid_search, multimodal_search = (_search(m) for m in ("seman
 
 @query()
 def lexical_backstop(spark, sf_dir):
-    return S.backstop(asked(spark, (*ASKED, (5, "src3 external"))), corpus(spark, sf_dir), 5).select("query_id", "uri", "rank")
+    return S.backstop(asked(spark, (*ASKED, (5, "src3 external"))), search_index(spark, sf_dir), 5).select("query_id", "uri", "rank")
 
 
 @query()
 def forge_augment(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    hits = S.snippets(asked(spark), c.docs)
+    hits = S.snippets(asked(spark), search_index(spark, sf_dir))
     some = hits.where("seq % 5 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))).where("rank <= 2")
     found = some.select("query_id", "seq", "uri", "rank", F.lit(3).alias("tier"), F.lit("fused").alias("method"), F.lit(0.5).alias("confidence"))
     return S._augment(found, hits, 5).select("query_id", "rank", "uri", "method")
@@ -429,14 +449,14 @@ def forge_augment(spark, sf_dir):
 
 @query()
 def rag_prompt(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    return S.prompt(S.search(asked(spark), c, "keyword"), c.docs)
+    ix = search_index(spark, sf_dir)
+    return S.prompt(S.search(asked(spark), ix, "keyword"), ix.docs)
 
 
 @query()
 def batch_search(spark, sf_dir):
     q = asked_of_benchmark(spark, sf_dir).where("query_id < 10").withColumn("priority", F.col("query_id") % 3)
-    return S.batch(q, corpus(spark, sf_dir), "keyword")
+    return S.batch(q, search_index(spark, sf_dir), "keyword")
 
 
 @query(f"""WITH r AS ({_bm25_sql('text', _Q, 10)}), j AS (SELECT query_id, rank, coalesce(quality = 1, false) AS relevant FROM r LEFT JOIN labels USING (doc_id)),
@@ -452,7 +472,7 @@ def eval_recall(spark, sf_dir):
 
 @query()
 def rag_retrieval(spark, sf_dir):
-    return S.retrieve(asked(spark), corpus(spark, sf_dir).embedded())
+    return S.retrieve(asked(spark), search_index(spark, sf_dir))
 
 
 @query(f"SELECT uri, seq, title FROM (VALUES ('local://src1/doc1'), ('local://none/1')) AS k(uri) LEFT JOIN {_DOC_SQL} USING (uri) UNION ALL (SELECT uri, seq, title FROM {_DOC_SQL} WHERE doc_id % 100 = 3)")

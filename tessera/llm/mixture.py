@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Topics by the first pattern that a text has; the rest is prose. `topic` of mix() and sample() takes another rule.
+#: Topics by the first rule that a text meets: one of some substrings, or a pattern where its mark (a substring of all its matches) is there;
+#: substrings are found in the text's bytes, so few texts are decoded for a pattern. The rest is prose. `topic` of mix() and sample()
+#: takes another rule.
 TOPICS = (
-    ("legal", r"[Ll]icen[cs]e|LICEN[CS]E|[Cc]opyright|[Ww]arranty|[Ll]icencia|[Ll]izenz"),
-    ("code", r"""[A-Za-z0-9_] ?:?= ?["'0-9]|[;{}] *\n|\) *\{"""),
-    ("contact", r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[A-Za-z]"),
-    ("listing", r"\|[^|\n]+\||\n *[-*•] [^\n]*\n *[-*•] "),
-    ("markup", r"[#$%&*<>{}~^\\|]{3}|</?[a-z]+>"),
+    ("legal", ("icense", "icence", "ICENSE", "opyright", "arranty", "izenz"), "", ""),
+    ("code", (";\n", ") {", "){"), "=", r"""[A-Za-z0-9_] ?:?= ?["'0-9]"""),
+    ("contact", (), "@", r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[A-Za-z]"),
+    ("listing", ("\n- ", "\n* ", "\n• "), "|", r"\|[^|\n]+\|"),
+    ("markup", ("###", "***", "%%%", "$$$", "&&&", "</"), "", ""),
 )
 KEEP = 0.5
 FLATTEN = 0.7
@@ -55,8 +57,13 @@ TOPIC_SHARES = {"legal": 0.02, "code": 0.015, "contact": 0.015, "markup": 0.02}
 
 def topic_of(text: Column) -> Column:
     out = F.lit("prose")
-    for name, pattern in reversed(TOPICS):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+    for name, parts, mark, pattern in reversed(TOPICS):
+        found = F.lit(False)
+        for part in parts:
+            found = found | text.contains(part)
+        if mark:
+            found = found | (text.contains(mark) & text.rlike(pattern))
+        out = F.when(found, F.lit(name)).otherwise(out)
     return out
 
 
@@ -177,8 +184,8 @@ def mix(docs: DataFrame, targets: dict[str, Target] | None = None, keep: float =
 
     targets: by margin (source, lang, topic) a DataFrame (category, share) or an exponent; FLATTEN where a margin is not named.
     """
-    counted = measured(docs, topic)
-    # Texts never take part in the join: it carries the few numbers that were measured on them.
+    # Texts are read once and never take part in the join: it carries the few numbers that were measured on them.
+    counted = stored(measured(docs, topic), "measured")
     joined = _meet(counted, cell_probabilities(counted, keep, targets or {}))
     return joined.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("p", 6).alias("p"), (_draw(seed) < F.col("p")).alias("sampled"))
 
@@ -196,7 +203,14 @@ def production_targets(spark: SparkSession) -> dict[str, Target]:
 
 def _oracle() -> str:
     """The same fit: all sizes are raked side by side, one factor (the largest that overfills no cell before it) at a step."""
-    cases = " ".join(f"WHEN regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, p in TOPICS)
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def rule(parts: tuple[str, ...], mark: str, pattern: str) -> str:
+        return " OR ".join([*(f"contains(t, {quoted(p)})" for p in parts), *([f"contains(t, {quoted(mark)}) AND regexp_matches(t, {quoted(pattern)})"] if mark else [])])
+
+    cases = " ".join(f"WHEN {rule(*rest)} THEN '{name}'" for name, *rest in TOPICS)
 
     def values(named: dict[str, float]) -> str:
         return ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in named.items())

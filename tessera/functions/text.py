@@ -211,10 +211,9 @@ def keywords(query: Column, language: str = "en") -> Column:
     return F.filter(without_stopwords(words, language), lambda w: F.length(w) > 1)
 
 
-TYPOS = {
-    "pyton": "python", "pythn": "python", "javascritp": "javascript", "docuemnt": "document", "documnet": "document",
-    "serach": "search", "seach": "search", "databse": "database", "algorithem": "algorithm", "fucntion": "function",
-}
+#: By the word meant: spellings of it that are put right. Words that stand for themselves count as corrections, too.
+_MEANT = {"python": "pythn pyton pythno", "document": "documnet", "file": "flie", "search": "serach", "configuration": "configurtion", "important": "importent", **{w: w for w in "config pdf docx xlsx json".split()}}
+TYPOS = {typo: word for word, typos in _MEANT.items() for typo in typos.split()}
 
 
 def correct(words: Column, typos: dict[str, str] = TYPOS) -> Column:

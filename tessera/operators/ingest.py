@@ -5,6 +5,7 @@ The key of a document is its URI; `seq` is its order of arrival and breaks every
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +18,32 @@ def exact_duplicates(docs: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def duplicates_of_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """uri, duplicate_of for new documents (seq, store, uri, path, fingerprint, aliases) that an existing one of another path equals in content and in some alias.
+    """uri, duplicate_of for new documents (seq, store, uri, path, fingerprint, aliases) that an earlier one of another path equals in content and in some alias.
 
-    The earliest such document counts; a document whose path is known already is an update and no duplicate.
+    Earlier are all existing documents and the new ones of a smaller seq that are kept themselves, as if new ones arrived one by one. The
+    earliest such document counts; a document whose path (in any case) is known already is an update and no duplicate. Only documents that
+    share a store and a content meet, so a group of equal contents is all that one task settles in order.
     """
-    updates = existing.select("store", "path").distinct()
-    fresh = new.join(updates, ["store", "path"], "left_anti")
-    old = existing.select("store", F.col("seq").alias("old_seq"), F.col("uri").alias("old_uri"), F.col("aliases").alias("old_aliases"), "fingerprint")
-    pairs = fresh.join(old, ["store", "fingerprint"]).where(F.arrays_overlap("aliases", "old_aliases"))
-    return pairs.groupBy("uri").agg(F.min_by("old_uri", "old_seq").alias("duplicate_of"))
+    columns = ("seq", "store", "uri", "path", "fingerprint", "aliases")
+    known = existing.select("store", F.lower("path").alias("_path")).distinct()
+    fresh = new.select(*columns, F.lower("path").alias("_path")).join(known, ["store", "_path"], "left_anti").select(*columns, F.lit(True).alias("new"))
+    # Contents of new documents alone are looked at.
+    old = existing.select(*columns, F.lit(False).alias("new")).join(fresh.select("store", "fingerprint").distinct(), ["store", "fingerprint"], "left_semi")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple] = []
+        out = []
+        for r in pdf.sort_values(["new", "seq"]).itertuples(index=False):
+            names, path = set(r.aliases if r.aliases is not None else ()), (r.path or "").lower()
+            same = any(p == path for _, p, _ in kept) if r.new and path else False
+            first = next((uri for uri, _, others in kept if names & others), None) if r.new and not same else None
+            if first is not None:
+                out.append((r.uri, first))
+            else:
+                kept.append((r.uri, path, names))
+        return pd.DataFrame(out, columns=["uri", "duplicate_of"])
+
+    return old.select(*columns, "new").unionByName(fresh).groupBy("store", "fingerprint").applyInPandas(settle, "uri string, duplicate_of string")
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -64,7 +64,8 @@ def of_user(records: DataFrame, keys: DataFrame, user: str | None = None) -> Dat
 
 
 def quota_status(records: DataFrame, quotas: DataFrame, now: str) -> DataFrame:
-    """For every key: use since the start of day and month up to now against its quota (defaults where it has none)."""
+    """For every key with use this month or with a quota: use since the start of day and month up to now against its quota (defaults where it
+    has none; zeros where it has no use)."""
     at = F.lit(now).cast("timestamp")
     month = records.where((F.col("ts") >= F.date_trunc("month", at)) & (F.col("ts") <= at))
     today = F.col("ts") >= F.date_trunc("day", at)
@@ -74,8 +75,8 @@ def quota_status(records: DataFrame, quotas: DataFrame, now: str) -> DataFrame:
         F.count("*").alias("monthly_requests_used"),
         F.sum(tokens()).cast("long").alias("monthly_tokens_used"),
     )
-    joined = use.join(quotas, "api_key", "left")
     names = ("daily_requests", "daily_tokens", "monthly_requests", "monthly_tokens")
+    joined = use.join(quotas, "api_key", "full").withColumns({f"{n}_used": F.coalesce(f"{n}_used", F.lit(0)).cast("long") for n in names})
     for n in names:
         limit = F.coalesce(F.col(n), F.lit(QUOTA[n]))
         joined = joined.withColumn(n, limit.cast("long"))

@@ -89,7 +89,7 @@ _PCTS = ", ".join(f"round(CASE WHEN {n} > 0 THEN {n}_used * CAST(100 AS DOUBLE)
 
 @query(f"""WITH u AS (SELECT api_key, count(*) FILTER (ts >= TIMESTAMP '2024-01-20') AS daily_requests_used, CAST(coalesce(sum(request_tokens + response_tokens) FILTER (ts >= TIMESTAMP '2024-01-20'), 0) AS BIGINT) AS daily_tokens_used,
 count(*) AS monthly_requests_used, CAST(sum(request_tokens + response_tokens) AS BIGINT) AS monthly_tokens_used FROM {_U} WHERE ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '{NOW}' GROUP BY 1),
-j AS (SELECT u.*, {_LIMITS}, coalesce(alert_pct, 80) AS alert_pct FROM u LEFT JOIN {_QUOTAS} USING (api_key))
+j AS (SELECT api_key, {", ".join(f"coalesce({n}_used, 0) AS {n}_used" for n in _NAMES)}, {_LIMITS}, coalesce(alert_pct, 80) AS alert_pct FROM u FULL JOIN {_QUOTAS} USING (api_key))
 SELECT *, {_PCTS}, {" OR ".join(f"{n}_used >= {n}" for n in _NAMES)} AS exceeded FROM j""")
 def quota_status(spark, sf_dir):
     return usage.quota_status(_records(spark, sf_dir), _quotas(spark, sf_dir), NOW)

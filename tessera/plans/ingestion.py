@@ -103,19 +103,33 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parsers.html_column("html").alias("text"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT contains(x, '-->')) AS l FROM documents WHERE doc_id % 5 = 0 AND NOT contains(text, '<') AND NOT contains(text, chr(13)))
+_VTT_LINES = "list_transform(string_split(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g')))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_filter(list_transform({_VTT_LINES}, lambda x: regexp_replace(x, '<[^>]+>', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^(NOTE|STYLE|REGION|WEBVTT)')) AS l FROM documents)
 SELECT doc_id, array_to_string(l, chr(10)) AS text FROM l""")
 def vtt_to_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").where(~F.contains("text", F.lit("<")) & ~F.contains("text", F.lit("\r")))
-    cues = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x, i: F.concat(i, F.lit("\n00:00.000 --> 00:01.000\n<v Ann>"), x, F.lit("</v>")))
-    vtt = F.concat(F.lit("WEBVTT\n\nNOTE nothing\n\n"), F.array_join(cues, "\n\n"))
+    docs = table(spark, sf_dir, "documents")
+    lines = F.split(F.regexp_replace("text", "\\r\\n?", "\n"), "\n")
+    cues = F.transform(F.filter(lines, lambda x: F.length(F.trim(x)) > 0), lambda x, i: F.concat(i, F.lit("\n00:00:00.000 --> 00:00:01.000 align:start\n<v Ann>"), x, F.lit("</v>\n\n00:00.000 --> 00:01.000\nno cue")))
+    vtt = F.concat(F.lit("WEBVTT\n\nNOTE nothing\nat all\n\n"), F.array_join(cues, "\n\n"))
     return docs.select("doc_id", parsers.vtt_column(vtt).alias("text"))
 
 
-@query()
+_TEX_SQL = "concat('\\section{', source, '}', chr(10), regexp_replace(regexp_replace(text, '[%$#&{}_\\\\^~]', '', 'g'), '([A-Za-z0-9_]+),', '\\emph{\\1},', 'g'), ' \\cite[p. 2]{key} % gone', chr(10), '\\begin{figure}x\\end{figure}')"
+
+
+def _tex_rules_sql(text: str) -> str:
+    """The documents' own shape read by hand: heading, emphasis unwrapped, citation's key kept, comment and figure gone, white space settled."""
+    body = "regexp_replace(text, '[%$#&{}_\\\\^~]', '', 'g')"
+    whole = f"concat(source, chr(10), chr(10), {body}, '  key ')"
+    return f"regexp_replace(regexp_replace(regexp_replace({whole}, '[ ' || chr(9) || ']+', ' ', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_tex_rules_sql('text')} AS text FROM documents")
 def latex_to_text(spark, sf_dir):
-    tex = F.concat(F.lit("\\section{"), "source", F.lit("}\n"), F.regexp_replace(F.regexp_replace("text", "[%$#&{}_\\\\^~]", ""), "(\\w+),", "\\\\emph{$1},"), F.lit(" % gone\n\\begin{figure}x\\end{figure}"))
-    return table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", parsers.latex_column(tex).alias("text"))
+    tex = F.concat(F.lit("\\section{"), "source", F.lit("}\n"), F.regexp_replace(F.regexp_replace("text", "[%$#&{}_\\\\^~]", ""), "(\\w+),", "\\\\emph{$1},"), F.lit(" \\cite[p. 2]{key} % gone\n\\begin{figure}x\\end{figure}"))
+    return table(spark, sf_dir, "documents").select("doc_id", parsers.latex_column(tex).alias("text"))
 
 
 @query("SELECT doc_id, concat('id', chr(9), 'lang', chr(9), 'n', chr(10), doc_id, chr(9), lang, chr(9), n_chars) AS text FROM documents")
@@ -132,17 +146,20 @@ def fingerprint_dedup(spark, sf_dir):
     return ingest.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, source, {_FP} AS f FROM documents)
-SELECT concat('u', n.doc_id) AS uri, arg_min(concat('u', o.doc_id), o.doc_id) AS duplicate_of FROM d n JOIN d o ON n.lang = o.lang AND n.f = o.f WHERE n.doc_id >= 500 AND o.doc_id < 500 AND (n.source = o.source OR n.doc_id % 3 = o.doc_id % 3) GROUP BY n.doc_id""")
+@query(f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY lang, f ORDER BY doc_id) AS n FROM (SELECT doc_id, source, doc_id % 3 AS m, doc_id >= 500 AS new, lang, {_FP} AS f FROM documents)),
+r AS (SELECT DISTINCT lang, f, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS doc, CAST(NULL AS BIGINT) AS dup, CAST([] AS STRUCT(id BIGINT, s VARCHAR, m BIGINT)[]) AS kept FROM d
+  UNION ALL SELECT lang, f, n, doc_id, x, CASE WHEN x IS NULL THEN list_append(kept, {{'id': doc_id, 's': source, 'm': m}}) ELSE kept END
+  FROM (SELECT r.lang, r.f, d.n, d.doc_id, d.source, d.m, kept, CASE WHEN d.new THEN list_filter(kept, lambda k: k.s = d.source OR k.m = d.m)[1].id END AS x FROM r JOIN d ON d.lang = r.lang AND d.f = r.f AND d.n = r.n + 1))
+SELECT concat('u', doc) AS uri, concat('u', dup) AS duplicate_of FROM r WHERE dup IS NOT NULL""")
 def alias_overlap_dedup(spark, sf_dir):
     names = F.array("source", F.concat(F.lit("Third-"), F.col("doc_id") % 3))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("lang").alias("store"), F.concat(F.lit("u"), "doc_id").alias("uri"), F.concat(F.lit("/p"), "doc_id").alias("path"), T.fingerprint(F.col("text")).alias("fingerprint"), T.alias_keys(names).alias("aliases"))
     return ingest.duplicates_of_existing(d.where("seq >= 500"), d.where("seq < 500"))
 
 
-@query(f"SELECT doc_id, array_to_string({uniq(tok('text'))}, ' ') AS terms FROM documents WHERE length(text) < 3000")
+@query(f"SELECT doc_id, array_to_string({uniq(tok('text'))}, ' ') AS terms FROM documents")
 def ordered_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.length("text") < 3000).select("doc_id", T.lookup_text("text").alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.lookup_text("text").alias("terms"))
 
 
 _OLD = "(SELECT source AS store, doc_id % 50 AS id, doc_id AS version, lang AS value FROM documents WHERE doc_id < 600)"

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import index, knn, rank
-from .stored import folder, settled
+from .stored import folder, held, settled, spread
 
 MODES = ("keyword", "semantic", "hybrid", "multimodal")
 #: What a document looks like to search; see operators.rank.
@@ -47,7 +47,7 @@ class Corpus:
 
     def embedded(self, dimensions: int = V.DIMENSIONS, characters: int = 2000) -> Corpus:
         """With vectors by feature hashing of each document and chunk, of whose text the first `characters` are read."""
-        text = self.all.select("seq", F.substring(F.concat_ws("\n", "title", "content"), 1, characters).alias("t"))
+        text = spread(self.all.select("seq", F.substring(F.concat_ws("\n", "title", "content"), 1, characters).alias("t")))
         return Corpus(self.docs, self.chunks, V.hashed(text, "seq", "t", dimensions))
 
 
@@ -96,7 +96,7 @@ def _write(corpus: Corpus, path: str, mode: str) -> None:
     marked = corpus.docs.select(*COLUMNS, F.lit(True).alias("is_doc"))
     if corpus.chunks is not None:
         marked = marked.unionByName(corpus.chunks.select(*COLUMNS, F.lit(False).alias("is_doc")))
-    ready = rank.prepared(_with_cluster(marked)).withColumn("low", F.lower(T.text("content")))
+    ready = rank.prepared(_with_cluster(spread(marked))).withColumn("low", F.lower(T.text("content")))
     ready = ready.withColumn("_t", T.terms("title")).withColumn("_h", T.terms(F.array_join("headings", " ")))
     ready.write.mode(mode).parquet(f"{path}/docs")
     docs = spark.read.schema(ready.schema).parquet(f"{path}/docs") if mode != "append" else ready
@@ -336,7 +336,7 @@ def _best(tiers: list[DataFrame], limit: int) -> DataFrame:
 
 
 def _fallback(queries: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
-    first = docs.orderBy("seq").limit(limit).select("seq", "uri", F.row_number().over(Window.orderBy("seq")).alias("rank"))
+    first = docs.select("seq", "uri").orderBy("seq").limit(limit).select("seq", "uri", F.row_number().over(Window.orderBy("seq")).alias("rank"))
     return queries.select("query_id").crossJoin(first)
 
 
@@ -366,34 +366,35 @@ def search(queries: DataFrame, corpus: Corpus | Index, mode: str = "hybrid", max
         raise ValueError(f"unknown mode {mode}")
     ix = _index(corpus)
     ix = ix.of_store(store) if store is not None else ix
+    queries = held(queries.select("query_id", "query"))
     rows = _read(queries)
     matched = matches(queries, ix, rows)
-    named = exact(queries, ix, max_sources, matched)
+    named = held(exact(queries, ix, max_sources, matched))
     # As many as a full list of sources can leave out.
-    hits = settled(index.top(snippets(queries, ix, rows).drop("snippet"), 2 * max_sources, ["query_id"], F.col("seq")), "hits")
-    ranked = settled(keyword_hits(queries, ix, max(rank.pool_size(max_sources, alpha), 2 * max_sources, 5)), "ranked")
-    net = backstop(queries, ix, max_sources, matched, ranked)
-    last = _tier(_fallback(queries, ix.docs.where("is_doc"), max_sources), 9, "none", 0.3)
+    hits = held(index.top(snippets(queries, ix, rows).drop("snippet"), 2 * max_sources, ["query_id"], F.col("seq")))
+    ranked = held(keyword_hits(queries, ix, max(rank.pool_size(max_sources, alpha), 2 * max_sources, 5)))
+    net = held(backstop(queries, ix, max_sources, matched, ranked))
+    last = held(_tier(_fallback(queries, ix.docs.where("is_doc"), max_sources), 9, "none", 0.3))
     if mode == "keyword":
         found = _best([_tier(hits, 1, "keyword", 0.7), _tier(named, 2, "exact"), _tier(net, 3, "backstop", 0.5), last], max_sources)
     else:
         embedded = embed_queries(queries, _width(ix)) if embedded is None else embedded
-        near = vector_ranking(queries, embedded, ix)
+        near = held(vector_ranking(queries, embedded, ix))
         if mode == "hybrid":
             keyword = _adjusted(ranked.where(F.col("rank") <= rank.pool_size(max_sources, alpha)), ix.docs, queries, 1.0, 1.0)
-            fused = settled(fuse(near, keyword, max_sources), "fused")
+            fused = held(fuse(near, keyword, max_sources))
             level = fused.groupBy("query_id").agg(F.max("confidence").alias("level"))
             # The named file wins where it is surer than the fusion; a poor result gives way to the backstop.
             sure = named.join(level, "query_id", "left").where("level IS NULL OR confidence > level").drop("level")
             kept = post_filter(fused, ix.docs, queries)
             poor = net.join(level.where(rank.verdict(F.col("level")) == "INHIBIT"), "query_id").withColumnRenamed("level", "confidence")
             found = _best([_tier(sure, 1, "exact"), _tier(poor, 2, "backstop"), _tier(kept, 3, "fused"), _tier(hits, 4, "keyword", 0.7), last], max_sources)
-            found = _augment(settled(found, "found"), hits, max_sources)
+            found = _augment(held(found), hits, max_sources)
         else:
             vector = _tier(post_filter(near, ix.docs, queries).drop("score"), 5, "vector", 0.3)
             first = [_tier(named, 1 if mode == "semantic" else 3, "exact"), _tier(hits, 2, "keyword", 0.7)]
             found = _best([*first, _tier(net, 4, "backstop", 0.45), vector, last], max_sources)
-    return _titled(found, ix, queries)
+    return _titled(held(found), ix, queries)
 
 
 def _titled(found: DataFrame, ix: Index, queries: DataFrame) -> DataFrame:

@@ -42,3 +42,15 @@ def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer partitions than there are, as a small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df computed once and held by the driver as a local table, for results bounded by the batch of queries (a few rows for each): joins with it
+    need no stage of their own."""
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udf
-from ..operators.chunk import chunk_markdown
+from ..operators.chunk import chunk_markdown, with_context
 
 NOTE = "struct<frontmatter:map<string,array<string>>,body:string,headings:array<string>,links:array<string>,tags:array<string>,aliases:array<string>>"
 
@@ -71,19 +71,36 @@ def note_column(texts: pd.Series) -> pd.DataFrame:
 
 
 def embedding_text(title: Column, note: Column) -> Column:
-    """Title, names, tags, up to 20 links and headings, and the body, each part on lines of its own."""
+    """Title, names, tags, up to 20 links and headings, and the body, each part on lines of its own; parts without content are left out."""
 
-    def part(label: str, values: Column) -> Column:
-        return F.when(F.size(values) > 0, F.concat(F.lit(f"{label}: "), F.array_join(values, ", ")))
+    def part(label: str, values: Column, mark: str = ", ") -> Column:
+        return F.when(F.size(values) > 0, F.concat(F.lit(f"{label}: "), F.array_join(values, mark)))
+
+    name = F.when(F.length(T.strip(T.text(title))) > 0, F.concat(F.lit("Title: "), T.strip(title)))
+    tags = F.transform(note["tags"], lambda t: F.concat(F.lit("#"), t))
+    body = F.when(F.length(T.text(note["body"])) > 0, note["body"])
+    return T.strip(F.concat_ws("\n", name, part("Aliases", note["aliases"]), part("Tags", tags), part("Links", F.slice(note["links"], 1, 20)), part("Headings", F.slice(note["headings"], 1, 20), " | "), body))
+
+
+def inner_links(text: str) -> list[str]:
+    return _distinct([re.split(r"[|#]", x)[0].strip() for x in re.findall(r"(?<!!)\[{2}([^\]]+)\]{2}", text)])
+
+
+def inner_tags(text: str) -> list[str]:
+    return _distinct(re.findall(r"(?<![/\w])#(\w[-\w/]*)", text))
+
+
+_CUT = "array<struct<headings:array<string>,start:int,end:int,text:string,tags:array<string>,links:array<string>,note_tags:array<string>,aliases:array<string>>>"
 
-    parts = [part("Aliases", note["aliases"]), part("Tags", note["tags"]), part("Links", F.slice(note["links"], 1, 20)), part("Headings", F.slice(note["headings"], 1, 20))]
-    return F.concat_ws("\n", F.concat(F.lit("Title: "), title), *parts, T.strip(note["body"]))
 
+def note_chunks(df: DataFrame, key: str, content: str, most: int = 256, least: int = 32, size: int = 1200, overlap: int = 160, window: int = 1) -> DataFrame:
+    """key, idx, headings, span, text, indexed, context, tags, links and aliases of each chunk of a note; long chunks are cut into windows.
 
-def note_chunks(df: DataFrame, key: str, content: str, most: int = 512, least: int = 64, size: int = 1200, overlap: int = 160) -> DataFrame:
-    """key, idx, headings, span, text and indexed: chunks of a note, long ones as windows, each with its headings, tags and links before it."""
+    indexed is text with the chunk's headings, and its own tags and links (10 at most), each on a line, before it; context is what `window` neighbours on
+    either side hold; tags are those of the note, then those of the chunk.
+    """
 
-    @udf.pandas("array<struct<headings:array<string>,start:int,end:int,text:string,tags:array<string>,links:array<string>>>")
+    @udf.pandas(_CUT)
     def cut(texts: pd.Series) -> pd.Series:
         out = []
         for s in texts:
@@ -93,14 +110,16 @@ def note_chunks(df: DataFrame, key: str, content: str, most: int = 512, least: i
                 if len(c) > size:
                     stride = size - overlap
                     spans = [(a, min(len(c), a + size)) for a in range(0, max(1, len(c) - overlap), stride)]
-                rows += [{"headings": heads, "start": a, "end": b, "text": c[a:b], "tags": note["tags"], "links": note["links"][:10]} for a, b in spans]
+                rows += [{"headings": heads, "start": a, "end": b, "text": c[a:b], "tags": inner_tags(c[a:b]), "links": inner_links(c[a:b]), "note_tags": note["tags"], "aliases": note["aliases"]} for a, b in spans]
             out.append(rows)
         return pd.Series(out)
 
     rows = df.select(key, F.posexplode(cut(F.col(content))).alias("idx", "c")).select(key, F.col("idx").cast("long").alias("idx"), "c.*")
+    rows = with_context(rows, key, "idx", F.concat_ws("\n", T.context_label(F.col("headings")), "text"), window)
 
-    def part(label: str, values: str, mark: str) -> Column:
+    def part(label: str, values: Column, mark: str) -> Column:
         return F.when(F.size(values) > 0, F.concat(F.lit(f"{label}: "), F.array_join(values, mark)))
 
-    head = F.concat_ws("\n", part("Headings", "headings", " > "), part("Tags", "tags", ", "), part("Links", "links", ", "))
-    return rows.select("*", F.concat_ws("\n\n", F.when(F.length(head) > 0, head), "text").alias("indexed"))
+    hashed = F.transform("tags", lambda t: F.concat(F.lit("#"), t))
+    text = F.concat_ws("\n", part("Headings", F.col("headings"), " > "), part("Tags", hashed, ", "), part("Links", F.slice("links", 1, 10), ", "), "text")
+    return rows.select(key, "idx", "headings", "start", "end", "text", text.alias("indexed"), "context", F.array_distinct(F.concat("note_tags", "tags")).alias("tags"), "links", "aliases")

@@ -81,17 +81,27 @@ def html(data: bytes) -> str:
     return html_text(plain(data))
 
 
+#: A cue's times need hours, minutes, seconds and thousandths on both sides.
+_VTT_TIMES = re.compile(r"(?:\d\d:){2}\d\d\.\d{3}\s+-->\s+(?:\d\d:){2}\d\d\.\d{3}")
+
+
 def vtt_text(source: str) -> str:
-    """The spoken lines: without header, notes, styles, regions, cue names, times and tags."""
-    out = []
-    for block in re.split(r"\n\s*\n", "\n".join((source or "").splitlines()).lstrip("\ufeff")):
-        lines = block.strip("\n").split("\n")
-        if re.match(r"(WEBVTT|NOTE|STYLE|REGION)\b", lines[0]) and not any("-->" in x for x in lines[:2]):
-            continue
-        at = next((i for i, x in enumerate(lines) if "-->" in x), None)
-        if at is not None:
-            out += [x for line in lines[at + 1 :] if (x := re.sub(r"<[^>]*>", "", line).strip())]
-    return "\n".join(out)
+    """The spoken lines: without header, notes, styles, regions, cue names, times and tags. A line counts from a cue's times to the next blank
+    line; a line that begins like a note, a style or a region ends the cue and hides what follows up to a blank line."""
+    out, state = [], ""
+    for line in re.split(r"\r\n|\r|\n", source or ""):
+        line = line.strip()
+        if not line:
+            state = ""
+        elif line.startswith(("NOTE", "STYLE", "REGION")):
+            state = "hidden"
+        elif line.startswith("WEBVTT") or state == "hidden":
+            pass
+        elif _VTT_TIMES.match(line):
+            state = "cue"
+        elif state == "cue":
+            out.append(re.sub(r"<[^>]+>", "", line))
+    return "\n".join(x for x in out if x)
 
 
 @register("vtt")
@@ -99,21 +109,32 @@ def vtt(data: bytes) -> str:
     return vtt_text(plain(data))
 
 
-_TEX_SKIP = "figure table equation align gather multline eqnarray tikzpicture lstlisting verbatim minted thebibliography algorithm algorithmic displaymath".split()
+_TEX_SKIP = "equation align gather eqnarray displaymath math tikzpicture figure table tabular array".split()
+_TEX_HEADS = "part chapter section subsection subsubsection".split()
+_TEX_INLINE = [*(f"text{x}" for x in "bf it tt rm sc sf up md normal font".split()), *"emph mbox hbox vbox".split()]
+_TEX_MARKS = "item label ref cite footnote caption".split()
+#: What is written in braces once, without braces inside.
+_ARG = r"\{([^}]+)\}"
+
+
+def _any(names: list[str]) -> str:
+    return rf"\\(?:{'|'.join(names)})"
+
+
+#: In order: comments; mathematics and figures; headings on lines of their own; inline text; items and references, which leave their
+#: argument; other commands with their arguments; marks that are left; white space.
 _TEX_RULES = [
-    (r"(?<!\\)%[^\n]*", ""),
-    *((rf"(?s)\\begin\{{{env}\*?\}}.*?\\end\{{{env}\*?\}}", "") for env in _TEX_SKIP),
-    (r"\\(?:part|chapter|(?:sub){0,2}section|paragraph|title)\*?\{([^{}]*)\}", r"\n\1\n"),
-    (r"\\(?:textbf|textit|texttt|emph|underline|textrm|textsf|mbox)\{([^{}]*)\}", r"\1"),
-    (r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?", ""),
-    (r"\\(?:cite|ref|label|eqref|usepackage|documentclass|input|include|bibliography|bibliographystyle)\w*(?:\[[^\]]*\])?\{[^{}]*\}", ""),
-    (r"\\item\b", "-"),
-    (r"\$\$?[^$]*\$\$?", ""),
-    (r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1"),
-    (r"\\[A-Za-z]+\*?", ""),
-    (r"[{}]", ""),
-    (r"[ \t]+", " "),
-    (r" *\n *", "\n"),
+    (r"%[^\n]*", ""),
+    *((rf"(?s)\\begin\{{{env}\*?\}}.*?\\end\{{{env}\*?\}}", " ") for env in _TEX_SKIP),
+    (_any(_TEX_HEADS) + r"\*?" + _ARG, r"\n\n\1\n"),
+    (_any(["title", "author", "abstract"]) + _ARG, r"\n\1\n"),
+    (_any(_TEX_INLINE) + _ARG, r"\1"),
+    (_any(_TEX_MARKS) + r"(?:\[[^\]]*\])?" + _ARG, r" \1 "),
+    (_any(_TEX_MARKS) + r"(?:\[[^\]]*\])?(?:\{\})?", " "),
+    (r"\\[a-zA-Z]+(?:\[[^\]]*\])*(?:\{[^}]*\})*", " "),
+    (r"\\[^\n]", " "),
+    (r"[${}&~_^]", " "),
+    (r"[\t ]+", " "),
     (r"\n\n\n+", "\n\n"),
 ]
 
@@ -277,25 +298,31 @@ def image(data: bytes) -> str:
 
 def extract(name: str, data: bytes | None) -> str:
     """Text of one file; unknown kinds as plain text, unreadable ones empty."""
+    return attempted(name, data)[0]
+
+
+def attempted(name: str, data: bytes | None) -> tuple[str, str | None]:
+    """Text of one file, and what went wrong if it could not be read."""
     parser = _PARSERS.get(name.rpartition(".")[2].lower(), plain)
     try:
-        return parser(bytes(data or b""))
-    except Exception:  # any broken file of any format: its text is empty, the batch goes on
-        return ""
+        return parser(bytes(data or b"")), None
+    except Exception as e:  # any broken file of any format: its text is empty, the batch goes on
+        return "", f"{type(e).__name__}: {e}"[:200]
 
 
-@udf.pandas("string")
-def _extract(names: pd.Series, data: pd.Series) -> pd.Series:
-    return pd.Series([extract(n or "", d) for n, d in zip(names, data)])
+@udf.pandas("struct<text:string,error:string>")
+def _extract(names: pd.Series, data: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([attempted(n or "", d) for n, d in zip(names, data)], columns=["text", "error"])
 
 
 def parsed(files: DataFrame, most: int | None = None) -> DataFrame:
-    """path, modified, length, status and text of files as spark.read.format("binaryFile") gives them; files beyond `most` bytes are not read."""
+    """path, modified, length, status, error and text of files as spark.read.format("binaryFile") gives them; files beyond `most` bytes are
+    not read. status: success, empty, too large, or error where the parser failed (as for binary .xls and .ppt, which are no archives)."""
     too_large = F.lit(False) if most is None else F.col("length") > most
     rows = files.select("path", F.col("modificationTime").alias("modified"), "length", too_large.alias("_large"), F.when(~too_large, F.col("content")).alias("_data"))
-    read = rows.withColumn("text", _extract("path", "_data"))
-    status = F.when(F.col("_large"), "too large").when(F.length(F.trim("text")) > 0, "success").otherwise("empty")
-    return read.select("path", "modified", "length", status.alias("status"), F.when(~F.col("_large"), F.col("text")).alias("text"))
+    read = rows.withColumn("_read", _extract("path", "_data")).select("*", "_read.text", "_read.error")
+    status = F.when(F.col("_large"), "too large").when(F.col("error").isNotNull(), "error").when(F.length(F.trim("text")) > 0, "success").otherwise("empty")
+    return read.select("path", "modified", "length", status.alias("status"), F.when(~F.col("_large"), F.col("error")).alias("error"), F.when(~F.col("_large"), F.col("text")).alias("text"))
 
 
 @udf.pandas("string")

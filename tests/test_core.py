@@ -88,7 +88,7 @@ def test_notes(spark):
 
 def test_parsers():
     assert parsers.html_text("<head><title>x</title></head><p>a&amp;b</p><script>no</script><div>c</div>") == "a&b\n\nc"
-    assert parsers.vtt_text("WEBVTT\n\nNOTE x\ny\n\n1\n00:01.000 --> 00:02.000\n<v Bob>Hi <b>you</b>\n\n00:03.000 --> 00:04.000\nBye") == "Hi you\nBye"
+    assert parsers.vtt_text("WEBVTT\n\nNOTE x\ny\n\n1\n00:00:01.000 --> 00:00:02.000 align:start\n<v Bob>Hi <b>you</b>\n\n00:00:03.000 --> 00:00:04.000\nBye") == "Hi you\nBye"
     tex = parsers.latex_text("\\section{One} % gone\n\\begin{equation}x\\end{equation}A \\emph{b} \\textbf{c}\\cite{z}")
     assert "One" in tex and "A b c" in tex and "gone" not in tex and "x" not in tex
     assert parsers.csv_text("a; b\n;\n1;2") == "a\tb\n1\t2"

@@ -17,7 +17,8 @@ the triangle inequality instead of pair by pair, so large groups of copies cost
 
 Defined results: a null or wordless text has no fingerprint; such a document is a group of its own and is kept. A null
 doc_id is allowed: it sorts after every other, so such a row is kept only where no row of its group has a doc_id. Of
-rows that agree in doc_id and text one stays. Extra columns are ignored; an empty table gives an empty result.
+rows that agree in doc_id and text one stays. doc_id may be of any type that has an order. Texts are read whole, however long. Extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -163,6 +164,30 @@ class _Roots:
             self.up[max(a, b)] = min(a, b)
 
 
+def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest index of each row's component; pairs are taken in whole arrays, of which those that link nothing new go at once."""
+    root = np.arange(n)
+    for a, b in pairs:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            continue
+        a, b = a[apart], b[apart]
+        while True:
+            low = np.minimum(a, b)
+            before = root.copy()
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            while not np.array_equal(root, up := root[root]):
+                root = up
+            a, b = root[a], root[b]
+            if np.array_equal(root, before) or (a == b).all():
+                break
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    return root
+
+
 def _pivoted(members: np.ndarray, words: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs within radius that connect the members just as all such pairs would: every pivot takes the rows near it out.
 
@@ -223,11 +248,7 @@ def _link(radius: int):
         n = len(table)
         node = table.column("node").to_numpy()
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype=np.uint8).reshape(n, -1)
-        roots = _Roots(n)
-        for a, b in near_pairs(fp, radius, int(table.column("cell")[0].as_py())):
-            for x, y in zip(a.tolist(), b.tolist()):
-                roots.join(x, y)
-        root = np.array([roots.find(i) for i in range(n)], dtype=np.int64)
+        root = joined(n, near_pairs(fp, radius, int(table.column("cell")[0].as_py())))
         linked = root != np.arange(n)
         return pa.table({"a": node[linked], "b": node[root[linked]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -243,7 +264,8 @@ def link(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, row_key (hash of doc_id and text), group_id (smallest doc_id of the group), group_size and keep (one row in each group)."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_fingerprint, "doc_id long, row_key long, fp binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_fingerprint, f"doc_id {kind}, row_key long, fp binary")
     rows = stored(rows, "fingerprints").withColumn("node", F.xxhash64("fp"))
     prints = stored(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("node").alias("node")), "prints")
     groups = components(link(prints, radius), "groups")

@@ -8,13 +8,16 @@ A passage repeats where SPAN or more words in a row occur at two places of the c
 2. Shards. Regions are collected to shards of about SHARD words. A shard's suffix array is built by Larsson-Sadakane refinement: suffixes
    are sorted by their first h words, then unsorted groups alone by (rank, rank h words on) with h doubled. Kasai's walk gives the
    common prefix of neighbours; it runs in many lanes at once, each over its own stretch of text. Neighbours that share SPAN
-   words form classes of equal windows.
-3. Merge. Every shard sends one key and its first document for each class of windows, sorted, in ranges of the key space. Where a range
-   meets, keys of several shards are found by binary search in the merged order, and each shard gets back, as bits, which of its keys
-   repeat elsewhere and which of them it holds first.
+   words form classes of equal windows; these alone tell what repeats inside the shard.
+3. Merge. Every shard sends a 64-bit key of its words and its first document for each class, sorted, in ranges of the key space (as many
+   as the number of words asks for). Where a range meets, keys of several shards are found by binary search in the merged order, and
+   each shard gets back, as bits, which of its classes repeat elsewhere and which of them it holds first. Between shards equal keys
+   stand for equal windows: sending the words would multiply what moves by ten. Of 10**12 different windows some 30,000 would
+   share a key with another.
 4. Spans. Windows that repeat in the shard or elsewhere are joined to maximal spans.
 
-Of all equal windows the one in the smallest doc_id (then the one furthest to the front) is the first, every other a copy.
+Of all equal windows the one in the smallest doc_id (then the one furthest to the front) is the first, every other a copy. Where doc_id
+is no integer, documents are ordered by its hash.
 
 Defined results: null, empty and short texts (under SPAN words) have no spans; rows that agree in doc_id and text count once; a null
 doc_id sorts last; extra columns are ignored; an empty table gives an empty result. Texts are read whole, however long.
@@ -26,13 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from .common import blobs, mix, powers, scan, stored, within
 
 SPAN, GRAM = 50, 25
 SHARD = 1_000_000
+#: Words for each range of the key space.
+PART = 4_000_000
 LANES = 4096
 _LAST = np.iinfo(np.int64).max
 
@@ -178,34 +185,41 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].view(np.int64)), pa.array(keys[pair[:, 1].astype(np.int64)]), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "key", "n"])
 
 
-_STATE = "shard long, ids array<long>, doc binary, begin binary, length binary, words binary, local binary"
+_STATE = "shard long, ids array<{kind}>, order binary, doc binary, begin binary, length binary, words binary, local binary, number binary"
 
 
-def _state(shard: int, ids: list, doc: np.ndarray, begin: np.ndarray, length: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+def _state(shard: int, ids: list, order: list, doc: np.ndarray, begin: np.ndarray, length: np.ndarray, words: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    """A shard: its documents and regions, which windows repeat in it (local), and of these the class (number)."""
     position, number = classes(words, length)
     local = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, dtype=bool)
-    row = [pa.array([shard], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (doc.astype(np.int32), begin.astype(np.int32), length.astype(np.int32), words.astype(np.uint32), np.packbits(local)))]
-    return pa.RecordBatch.from_arrays(row, names=["shard", "ids", "doc", "begin", "length", "words", "local"])
+    cells = (np.array(order, dtype=np.int64), doc.astype(np.int32), begin.astype(np.int32), length.astype(np.int32), words.astype(np.uint32), np.packbits(local), number[local].astype(np.int32))
+    row = [pa.array([shard], pa.int64()), pa.array([ids], pa.list_(kind)), *(pa.array([x.tobytes()], pa.binary()) for x in cells)]
+    return pa.RecordBatch.from_arrays(row, names=["shard", "ids", "order", "doc", "begin", "length", "words", "local", "number"])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, doc_id, text, hot (array of anchor hashes), all of one key together: the shards' states."""
+def _shards(kind: pa.DataType):
+    return lambda batches: _each_shard(batches, kind)
+
+
+def _each_shard(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows key, doc_id, text, order, hot (array of anchor hashes), all of one key together: the shards' states."""
     from pyspark import TaskContext
 
     shard = TaskContext.get().partitionId() << 32
     ids: list = []
+    order: list = []
     held: list[tuple] = []
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
-        return _state(shard, ids, *(np.concatenate(x) for x in zip(*held)))
+        return _state(shard, ids, order, *(np.concatenate(x) for x in zip(*held)), kind)
 
     for batch in batches:
         keys = batch.column(0).to_numpy()
         fresh = np.append(last is None or keys[0] != last, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, dtype=bool)
         last = keys[-1] if len(keys) else last
         batch = batch.filter(pa.array(fresh))
-        hot_lists = batch.column(3)
+        hot_lists = batch.column(4)
         for lo, hi, words in scan(batch.column(2)):
             g = grams(words.hash, GRAM)
             hot = np.unique(hot_lists.slice(lo, hi - lo).flatten().to_numpy().view(np.uint64))
@@ -223,38 +237,44 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = np.repeat(begin, length) + within(length)
             held.append((doc + len(ids), begin - words.first[text], length, words.hash[take].astype(np.uint32)))
             ids.extend(batch.column(1).take(pa.array(used + lo)).to_pylist())
+            order.extend(batch.column(3).take(pa.array(used + lo)).to_pylist())
             size += int(length.sum())
             if size >= SHARD:
                 yield flush()
-                ids, held, size, shard = [], [], 0, shard + 1
+                ids, order, held, size, shard = [], [], [], 0, shard + 1
     if held:
         yield flush()
 
 
 class _Windows:
-    """All windows of a shard's state, with their keys; sorted distinct keys and the first document of each."""
+    """All windows of a shard's state, with their classes; the classes in the order of their keys, each with its first window and document."""
 
     def __init__(self, state: dict) -> None:
-        raw = {k: np.frombuffer(state[k], dtype=t) for k, t in (("doc", np.int32), ("begin", np.int32), ("length", np.int32), ("words", np.uint32))}
+        raw = {k: np.frombuffer(state[k], dtype=t) for k, t in (("doc", np.int32), ("begin", np.int32), ("length", np.int32), ("words", np.uint32), ("order", np.int64), ("number", np.int32))}
         length = raw["length"].astype(np.int64)
         lengths = np.maximum(length - SPAN + 1, 0)
         start = np.cumsum(length) - length
         position = np.repeat(start, lengths) + within(lengths)
-        ids = np.array([_LAST if i is None else i for i in state["ids"]], dtype=np.int64)
         doc = np.repeat(raw["doc"], lengths).astype(np.int64)
-        self.row, self.at = doc, np.repeat(raw["begin"], lengths) + within(lengths)
-        self.key = grams(raw["words"], SPAN)[position] if len(position) else np.zeros(0, dtype=np.uint64)
+        self.ids, self.row, self.at = state["ids"], doc, np.repeat(raw["begin"], lengths) + within(lengths)
         self.local = np.unpackbits(np.frombuffer(state["local"], dtype=np.uint8), count=len(position)).astype(bool)
+        # Windows without an equal one in the shard are classes of their own.
+        number = np.arange(len(position))
+        number[self.local] = raw["number"].astype(np.int64) + len(position)
         # First of equal windows: smallest doc_id, then the text's place in the shard, then its position.
-        place = np.empty(len(ids), dtype=np.int64)
-        place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        by = np.lexsort((self.at, place[doc], self.key))
-        new = np.concatenate([[True], self.key[by][1:] != self.key[by][:-1]]) if len(by) else np.zeros(0, dtype=bool)
-        self.leader = by[new]
-        self.keys = self.key[self.leader]
-        self.owner = ids[doc[self.leader]]
-        self.number = np.searchsorted(self.keys, self.key)
-        self.ids = ids
+        place = np.empty(len(self.ids), dtype=np.int64)
+        place[np.argsort(raw["order"], kind="stable")] = np.arange(len(self.ids))
+        by = np.lexsort((self.at, place[doc], number))
+        new = np.concatenate([[True], number[by][1:] != number[by][:-1]]) if len(by) else np.zeros(0, dtype=bool)
+        leader = by[new]
+        key = grams(raw["words"], SPAN)[position[leader]] if len(leader) else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.leader, self.keys = leader[order], key[order]
+        self.owner = raw["order"][doc[self.leader]]
+        self.number = np.empty(len(by), dtype=np.int64)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.number[by] = rank[np.cumsum(new) - 1]
 
     def ranges(self, parts: int) -> np.ndarray:
         edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
@@ -267,8 +287,9 @@ def _send(parts: int):
             for state in batch.to_pylist():
                 w = _Windows(state)
                 first = w.ranges(parts)
-                n = pa.array(np.full(parts, state["shard"]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), n, blobs(w.keys, first), blobs(w.owner, first)], names=["part", "shard", "keys", "owners"])
+                used = np.flatnonzero(np.diff(first))
+                bounds = np.append(first[used], first[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), state["shard"])), blobs(w.keys, bounds), blobs(w.owner, bounds)], names=["part", "shard", "keys", "owners"])
 
     return run
 
@@ -283,7 +304,9 @@ def _merge(table: pa.Table) -> pa.Table:
     by = np.lexsort((source, owner, keys))
     new = np.concatenate([[True], keys[by][1:] != keys[by][:-1]]) if len(by) else np.zeros(0, dtype=bool)
     starts = np.flatnonzero(new)
-    several = np.diff(np.append(starts, len(by))) > 1
+    # Of two shards at least: classes of one shard differ, whatever their keys.
+    several = source[by][starts] != np.maximum.reduceat(source[by], starts) if len(by) else np.zeros(0, dtype=bool)
+    several |= source[by][starts] != np.minimum.reduceat(source[by], starts) if len(by) else several
     merged, winner = keys[by][starts][several], source[by][starts][several]
     shared, first = [], []
     for i, run in enumerate(runs):
@@ -304,9 +327,10 @@ def _runs(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return row[starts], at[starts], at[ends] + SPAN
 
 
-def _spans(parts: int):
+def _spans(parts: int, kind: pa.DataType):
     def run(states: pa.Table, bits: pa.Table) -> pa.Table:
         out: list[tuple] = []
+        every: list = []
         for state in states.to_pylist():
             w = _Windows(state)
             first = w.ranges(parts)
@@ -316,15 +340,16 @@ def _spans(parts: int):
                 shared[lo:hi] = np.unpackbits(np.frombuffer(b["shared"], dtype=np.uint8), count=hi - lo)
                 leads[lo:hi] = np.unpackbits(np.frombuffer(b["first"], dtype=np.uint8), count=hi - lo)
             repeats = w.local | shared[w.number]
-            is_first = np.zeros(len(w.key), dtype=bool)
+            is_first = np.zeros(len(w.row), dtype=bool)
             is_first[w.leader] = leads
             for copy in (False, True):
                 chosen = np.flatnonzero(repeats & (is_first != copy))
                 chosen = chosen[np.lexsort((w.at[chosen], w.row[chosen]))]
                 row, lo, hi = _runs(w.row[chosen], w.at[chosen])
-                out.append((w.ids[row], lo, hi, np.full(len(row), copy)))
-        ids, lo, hi, copy = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-        return pa.table({"doc_id": pa.array(ids, mask=ids == _LAST), "start_word": pa.array(lo.astype(np.int64)), "end_word": pa.array(hi.astype(np.int64)), "copy": pa.array(copy.astype(bool))})
+                out.append((row + len(every), lo, hi, np.full(len(row), copy)))
+            every += w.ids
+        row, lo, hi, copy = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+        return pa.table({"doc_id": pa.array(every, kind).take(pa.array(row.astype(np.int64))), "start_word": pa.array(lo.astype(np.int64)), "end_word": pa.array(hi.astype(np.int64)), "copy": pa.array(copy.astype(bool))})
 
     return run
 
@@ -334,16 +359,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A span with copy = false holds windows that occur here first; one with copy = true holds windows that occurred before.
     """
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= 2 * SPAN - 1)
+    kind = docs.schema["doc_id"].dataType
+    integral = isinstance(kind, (ByteType, ShortType, IntegerType, LongType))
+    order = F.coalesce(F.col("doc_id").cast("long") if integral else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.lit(int(_LAST)))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", order.alias("order")).where(F.length("text") >= 2 * SPAN - 1)
     found = keyed.select("key", "text").mapInArrow(_emit_anchors, "h long, key long, n int")
-    spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # All places of an anchor that occurs twice; the anchors themselves are far fewer than words.
-    counted = found.withColumn("n", F.sum("n").over(Window.partitionBy("h"))).where("n > 1")
-    hot = counted.groupBy("key").agg(F.collect_list("h").alias("hot"))
+    # Anchors that occur twice, by partial sums, so one that very many texts hold is counted where they are; they meet their places again
+    # in a join, whose skewed keys Spark splits.
+    often = found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    hot = found.select("h", "key").join(often.hint("merge"), "h").groupBy("key").agg(F.collect_list("h").alias("hot"))
     # A merge join brings rows of one key together, in order.
-    sent = keyed.join(hot.hint("merge"), "key").select("key", "doc_id", "text", "hot").sortWithinPartitions("key")
-    states = stored(sent.mapInArrow(_shards, _STATE), "shards")
+    sent = keyed.join(hot.hint("merge"), "key").select("key", "doc_id", "text", "order", "hot").sortWithinPartitions("key")
+    arrow = to_arrow_type(kind)
+    states = stored(sent.mapInArrow(_shards(arrow), _STATE.format(kind=kind.simpleString())), "shards")
+    words = states.agg(F.sum(F.length("words"))).first()[0] or 0
+    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // (4 * PART)))
     keys = states.mapInArrow(_send(parts), "part int, shard long, keys binary, owners binary")
     bits = keys.groupBy("part").applyInArrow(_merge, "shard long, part int, shared binary, first binary")
-    return states.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(_spans(parts), "doc_id long, start_word long, end_word long, copy boolean")
+    return states.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(_spans(parts, arrow), f"doc_id {kind.simpleString()}, start_word long, end_word long, copy boolean")

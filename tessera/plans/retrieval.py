@@ -266,10 +266,10 @@ def _vectors(spark, sf_dir):
 
 
 def _probes(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-_KNN = "SELECT q.vec_id AS query_id, e.vec_id AS key, {score} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q"
+_KNN = "SELECT q.vec_id AS query_id, e.vec_id AS key, {score} AS score FROM embeddings e, embeddings q"
 _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 _TOP = "SELECT query_id, key, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key DESC) AS rank FROM ({inner})) WHERE rank <= 10"
 
@@ -296,7 +296,7 @@ def knn_dot(spark, sf_dir):
 
 
 @query(f"""SELECT query_id, label, key, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY round(score, 9) DESC, key DESC) AS rank
-FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id AS key, {_COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q)) WHERE rank <= 3""")
+FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id AS key, {_COS} AS score FROM embeddings e, embeddings q)) WHERE rank <= 3""")
 def knn_per_label(spark, sf_dir):
     pairs = _vectors(spark, sf_dir).crossJoin(_probes(spark, sf_dir).withColumnRenamed("embedding", "q"))
     scored = pairs.select("query_id", "label", "key", V.cosine(F.col("embedding"), F.col("q")).alias("score"))
@@ -360,11 +360,11 @@ def quantized_cosine(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.cosine(e, V.dequantise(V.quantise(e))), 5).alias("cosine"))
 
 
-@query(f"""WITH a AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE vec_id < 20),
-b AS (SELECT x.vec_id, list_transform(range(1, len(x.embedding) + 1), lambda i: 0.7 * CAST(x.embedding[i] AS DOUBLE) + 0.3 * CAST(y.embedding[i] AS DOUBLE)) AS v FROM a x JOIN a y ON y.n = x.n + 1)
+@query(f"""WITH a AS (SELECT vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, label FROM embeddings),
+b AS (SELECT x.vec_id, list_transform(range(1, len(x.embedding) + 1), lambda i: 0.7 * CAST(x.embedding[i] AS DOUBLE) + 0.3 * CAST(y.embedding[i] AS DOUBLE)) AS v FROM a x JOIN a y ON y.n = x.n + 1 AND y.label = x.label)
 SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS last FROM b""")
 def multimodal_blend(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 20").select("vec_id", "embedding", F.lead("embedding").over(Window.orderBy("vec_id")).alias("picture")).where("picture IS NOT NULL")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id")).alias("picture")).where("picture IS NOT NULL")
     mixed = V.blend(F.col("embedding").cast("array<double>"), F.col("picture").cast("array<double>"), 0.7, 0.3)
     return v.select("vec_id", F.round(F.get(mixed, F.lit(0)), 6).alias("first"), F.round(F.get(mixed, F.lit(63)), 6).alias("last"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import ingest, usage
+from tessera.operators import ingest, knn, usage
 from tessera.plans import search as S
 from tessera.sources import notes, parsers
 
@@ -26,7 +26,8 @@ def test_note_chunks_by_hand(spark):
     rows = notes.note_chunks(spark.createDataFrame([(1, md)], "id int, t string"), "id", "t", 100, 10).orderBy("idx").collect()
     first, last = rows[0], rows[-1]
     assert first.indexed.startswith("Headings: One\nTags: #in/one\nLinks: Link A\nalpha words") and last.indexed.startswith("Headings: Two\nTags: #two\nLinks: Link B\nbeta words")
-    assert first.tags == ["top", "in/one"] and last.tags == ["top", "two"] and last.aliases == ["Al"]
+    # Tags of the note are those of its head and its body; the chunk's own are among them.
+    assert first.tags == last.tags == ["top", "in/one", "two"] and (first.links, last.links) == (["Link A"], ["Link B"]) and last.aliases == ["Al"]
     assert first.context.startswith("[") and len(rows) > 1 and last.context.startswith("[")
 
 
@@ -79,3 +80,22 @@ def test_index_grows_and_keeps_stores_apart(spark):
     assert best[1].answer == "[Head] pasta with basil" and best[2].answer == "[Head] größe matters"
     limited = S.batch(spark.createDataFrame([(1, "pasta", 1, 1), (2, "größe matters", 2, None)], "query_id int, query string, priority int, max_results int"), whole, "keyword").collect()
     assert [(r.query_id, r.n_sources) for r in limited] == [(2, 1), (1, 1)]
+
+
+def test_lsh_recall_over_every_vector(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("key"), "embedding")
+    q = e.withColumnRenamed("key", "query_id")
+    exact = {(r.query_id, r.key) for r in knn.knn(e, q, 10).collect()}
+    near = {(r.query_id, r.key) for r in knn.lsh_knn(e, q, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_queries_in_slices(spark, sf_dir, monkeypatch):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("key"), "embedding").where("key < 60")
+
+    def found():
+        return sorted((r.query_id, r.key, round(r.score, 9), r.rank) for r in knn.knn(e, e.withColumnRenamed("key", "query_id"), 3).collect())
+
+    whole = found()
+    monkeypatch.setattr(knn, "SLICE", 25)
+    assert found() == whole and len(whole) == 180

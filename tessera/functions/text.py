@@ -189,14 +189,15 @@ def language_tokens(c: Column, language: str) -> Column:
     return F.flatten(F.transform(words, bigrams)) if language in ("zh", "ja") else words
 
 
+#: Words without meaning of their own, by language; others take the English ones.
 STOPWORDS = {
-    "en": "a an and are as at be by for from has have how i in is it of on or that the this to was what when where which who why will with".split(),
-    "de": "der die das und oder in im den dem ein eine ist sind zu mit von für auf als auch nicht wie was".split(),
-    "fr": "le la les de des du un une et ou en dans pour par sur avec est sont que qui ne pas".split(),
-    "es": "el la los las de del un una y o en para por con es son que no se su".split(),
-    "ko": "그 이 저 것 수 등 및 를 을 은 는 가 에 의".split(),
-    "ja": "の に は を た が で て と し れ さ".split(),
-    "zh": "的 了 和 是 在 我 有 就 不 人".split(),
+    "en": "a be of an in on do to or as is at it by and the are who for has was get not but how find were have with will from been does this that what could would where about should search".split(),
+    "de": "im an in es zu und die sie auf ich bei dem den ein von der für das des als mit ist eine auch einer nicht".split(),
+    "fr": "la de le se il en un et au du une que qui par sur pas des les ils est avec elle pour dans nous vous".split(),
+    "es": "o y la ya de le se al el en un lo no es su una que del con por las los sus para como pero".split(),
+    "ko": "가 것 과 그 는 도 등 때 로 를 만 및 수 에 와 은 을 의 이 저 없다 있다 하다 어떤 그런 이런 으로 에서".split(),
+    "ja": "い が さ し た て で と な に の は も や れ を ない なっ こと など この ため から ある いる する れる として".split(),
+    "zh": "一 上 不 也 了 人 会 你 到 去 和 在 好 就 很 我 是 有 的 看 着 要 说 这 都 一个 自己 没有".split(),
 }
 
 
@@ -233,6 +234,25 @@ def extensions(query: Column) -> Column:
     return F.array_sort(F.array_intersect(known, F.array_union(dotted, words)))
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Letters to insert, delete or replace between two words."""
+    return F.levenshtein(text(a), text(b))
+
+
+def tokens_of_bytes(n: Column) -> Column:
+    """Four bytes to a token."""
+    return F.floor(F.coalesce(n, F.lit(0)) / 4).cast("long")
+
+
+def uptime(seconds: Column) -> Column:
+    """Days, hours, minutes and seconds, from the largest that is not zero on."""
+    s = F.floor(seconds).cast("long")
+    units = ((s / 86400, "d"), (s % 86400 / 3600, "h"), (s % 3600 / 60, "m"), (s % 60, "s"))
+    named = F.array(*(F.concat(F.floor(n).cast("string"), F.lit(u)) for n, u in units))
+    first = F.when(s >= 86400, 1).when(s >= 3600, 2).when(s >= 60, 3).otherwise(4)
+    return F.array_join(F.slice(named, first, F.lit(4)), " ")
+
+
 def query_filters(query: Column) -> Column:
     """Filters written into a query: size with comparison, value and unit (bytes where none is named), dates and type; null where absent."""
     low = F.lower(text(query))

@@ -70,19 +70,21 @@ def hashed(df: DataFrame, key: str, content: str, dimensions: int = DIMENSIONS)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, float]] = {}
+        known: dict[str, int] = {}  # feature -> twice its place, plus 1 where the sign is negative
         for batch in batches:
             out = np.zeros((len(batch), dimensions))
             for i, s in enumerate(batch.column(1).to_pylist()):
-                places, values = [], []
-                for f, weight in features(s):
-                    found = known.get(f)
-                    if found is None:
-                        d = hashlib.sha256(f.encode()).digest()
-                        found = known[f] = (int.from_bytes(d[:4], "big") % dimensions, -1.0 if d[7] % 2 else 1.0)
-                    places.append(found[0])
-                    values.append(found[1] * weight)
-                out[i] = np.bincount(places, values, minlength=dimensions) if places else 0
+                pairs = features(s)
+                found = [f for f, _ in pairs]
+                codes = list(map(known.get, found))
+                if None in codes:
+                    for j, f in enumerate(found):
+                        if codes[j] is None:
+                            d = hashlib.sha256(f.encode()).digest()
+                            codes[j] = known[f] = int.from_bytes(d[:4], "big") % dimensions * 2 + d[7] % 2
+                code = np.array(codes, dtype=np.int64)
+                weight = (1.0 - 2.0 * (code & 1)) * np.fromiter((w for _, w in pairs), np.float64, len(pairs))
+                out[i] = np.bincount(code >> 1, weight, minlength=dimensions) if len(code) else 0
                 if len(known) > MEMORY:
                     known.clear()
             size = np.linalg.norm(out, axis=1, keepdims=True)

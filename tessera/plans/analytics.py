@@ -191,7 +191,12 @@ def learner_alpha(spark, sf_dir):
     return learner.recommended_alpha(_history(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE g AS (SELECT store, step, coalesce(avg(confidence) FILTER (mode = 'semantic'), avg(confidence) FILTER (mode = 'hybrid')) AS v, avg(confidence) FILTER (mode = 'keyword') AS k
+  FROM (SELECT *, (row_number() OVER (PARTITION BY store ORDER BY seq) - 1) // 20 AS step FROM {_H}) GROUP BY store, step HAVING count(*) = 20),
+r AS (SELECT DISTINCT store, CAST(-1 AS BIGINT) AS step, CAST(0.5 AS DOUBLE) AS alpha FROM g
+  UNION ALL SELECT r.store, r.step + 1, round(CAST(0.7 AS DOUBLE) * alpha + (1 - CAST(0.7 AS DOUBLE)) * CASE WHEN coalesce(v, alpha) > coalesce(k, alpha) + CAST(0.05 AS DOUBLE) THEN least(CAST(0.8 AS DOUBLE), alpha + CAST(0.1 AS DOUBLE)) WHEN coalesce(k, alpha) > coalesce(v, alpha) + CAST(0.05 AS DOUBLE) THEN greatest(CAST(0.2 AS DOUBLE), alpha - CAST(0.1 AS DOUBLE)) ELSE alpha END, 3)
+  FROM r JOIN g ON g.store = r.store AND g.step = r.step + 1)
+SELECT store, arg_max(alpha, step) AS alpha FROM r GROUP BY store""")
 def learner_alpha_path(spark, sf_dir):
     return learner.alpha_path(_history(spark, sf_dir), 20)
 

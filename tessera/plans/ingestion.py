@@ -54,21 +54,31 @@ def chunk_markdown(spark, sf_dir):
     return chunk.markdown(_markdown(spark, sf_dir), "doc_id", "md", 128, 16)
 
 
-@query()
+_LINES_SQL = "string_split(text, chr(10))"
+_SECTION_SQL = f"""WITH l AS (SELECT doc_id, source, lang, unnest({_LINES_SQL}) AS x, generate_subscripts({_LINES_SQL}, 1) - 1 AS i FROM documents),
+p AS (SELECT doc_id, i + 2 AS n, [concat('Doc ', doc_id), CASE WHEN i % 2 = 0 THEN concat('Part ', i) ELSE concat('Part ', i - 1) END] AS h, i, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS body FROM l),
+q AS (SELECT doc_id, n, CASE WHEN i % 2 = 0 THEN h ELSE list_append(h, concat('Sub ', i)) END AS headings, body FROM p WHERE body <> ''
+  UNION ALL SELECT doc_id, 0, [], concat('---', chr(10), 'title: ', source, chr(10), 'tags: [a, ', lang, ']', chr(10), 'aliases:', chr(10), '  - one', chr(10), '  - two ', doc_id, chr(10), '---') FROM documents
+  UNION ALL SELECT doc_id, 1, [concat('Doc ', doc_id)], concat('See [[Note ', source, '|label]] and [[x/y#part]] #', lang, '/deep') FROM documents)"""
+
+
+@query(_SECTION_SQL + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS idx, headings, body AS text FROM q")
 def heading_sections(spark, sf_dir):
     return chunk.heading_sections(_markdown(spark, sf_dir), "doc_id", "md")
 
 
-@query()
+@query(f"SELECT doc_id, [source] AS title, ['a', lang, concat(lang, '/deep')] AS tags, ['one', concat('two ', doc_id)] AS aliases, [concat('Note ', source), 'x/y'] AS links, CAST(1 + len({_LINES_SQL}) AS INTEGER) AS n_headings FROM documents")
 def note_frontmatter(spark, sf_dir):
     n = _markdown(spark, sf_dir).select("doc_id", notes.note_column("md").alias("n"))
     return n.select("doc_id", F.col("n.frontmatter")["title"].alias("title"), "n.tags", "n.aliases", "n.links", F.size("n.headings").alias("n_headings"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT doc_id, source, lang, concat('# Doc ', doc_id, chr(10), 'See [[Note ', source, '|label]] and [[x/y#part]] #', lang, '/deep', chr(10), array_to_string(list_transform({_LINES_SQL}, lambda x, i: concat(CASE WHEN i % 2 = 1 THEN concat(chr(10), '## Part ') ELSE concat(chr(10), '### Sub ') END, i - 1, chr(10), x)), chr(10))) AS body,
+  list_transform(range(least(len({_LINES_SQL}), 19)), lambda i: concat(CASE WHEN i % 2 = 0 THEN 'Part ' ELSE 'Sub ' END, i)) AS h FROM documents)
+SELECT doc_id, regexp_replace(concat('Title: ', source, chr(10), 'Aliases: one, two ', doc_id, chr(10), 'Tags: #a, #', lang, ', #', lang, '/deep', chr(10), 'Links: Note ', source, ', x/y', chr(10), 'Headings: Doc ', doc_id, array_to_string(list_transform(h, lambda x: concat(' | ', x)), ''), chr(10), body), '^\\s+|\\s+$', '', 'g') AS text FROM b""")
 def note_embedding_text(spark, sf_dir):
     n = _markdown(spark, sf_dir).select("doc_id", notes.note_column("md").alias("n"))
-    return n.select("doc_id", notes.embedding_text(F.lit("t"), F.col("n")).alias("text"))
+    return n.select("doc_id", notes.embedding_text(F.get(F.col("n.frontmatter")["title"], F.lit(0)), F.col("n")).alias("text"))
 
 
 @query()
@@ -276,14 +286,14 @@ def refine_query(spark, sf_dir):
     return _rewrites(spark).select("query_id", refined.alias("refined"), (fixed != words).alias("corrected"))
 
 
-@query("SELECT doc_id, array_to_string(flatten(list_transform(list_filter(string_split(regexp_replace(lower(trim(substr(text, 1, 60))), '\\s+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda i: substr(w, i, 2)))), '|') AS tokens FROM documents")
+@query("SELECT doc_id, array_to_string(flatten(list_transform(list_filter(string_split(regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, greatest(length(w) - 1, 1) + 1), lambda i: substr(w, i, 2)))), '|') AS tokens FROM documents")
 def bigram_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.language_tokens(F.substring("text", 1, 60), "ja"), "|").alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.language_tokens("text", "ja"), "|").alias("tokens"))
 
 
-@query("SELECT doc_id, sha256(concat_ws('|', substr(text, 1, 20), source, concat('lang=', lang), concat('mode=', 'hybrid'))) AS key FROM documents")
+@query("SELECT doc_id, sha256(concat_ws('|', text, source, concat('lang=', lang), concat('mode=', 'hybrid'))) AS key FROM documents")
 def cache_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.cache_key(F.substring("text", 1, 20), F.col("source"), mode=F.lit("hybrid"), lang=F.col("lang"), model=F.lit(None)).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.cache_key(F.col("text"), F.col("source"), mode=F.lit("hybrid"), lang=F.col("lang"), model=F.lit(None)).alias("key"))
 
 
 @query("SELECT doc_id, concat('local://', source, '/', url_encode(concat('/a b/', lang, '~*', doc_id, '+.md'))) AS uri, concat('/a b/', lang, '~*', doc_id, '+.md') AS path FROM documents")
@@ -387,3 +397,8 @@ def loader_export(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.length("text").between(1, 800))
     rows = chunk.windows(docs, "doc_id", "text").withColumn("headings", F.array().cast("array<string>"))
     return S.exported(rows).select(F.md5("text").alias("digest"), F.col("metadata.chunk_index").cast("int").alias("chunk_index"))
+
+
+@query("SELECT doc_id, CAST(levenshtein(lang, source) AS INTEGER) AS distance, CAST(n_chars // 4 AS BIGINT) AS tokens FROM documents")
+def edit_distance(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.edit_distance(F.col("lang"), F.col("source")).alias("distance"), T.tokens_of_bytes(F.col("n_chars")).alias("tokens"))

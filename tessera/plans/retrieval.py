@@ -308,7 +308,7 @@ def lsh_knn(spark, sf_dir):
     return _rounded(knn.lsh_knn(_vectors(spark, sf_dir).select("key", "embedding"), _probes(spark, sf_dir)))
 
 
-_HASH_SQL = """WITH d AS (SELECT doc_id, substr(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 120), chr(32) || chr(10))), '\\s+', ' ', 'g'), '[^a-z0-9_ .\\-/]', '', 'g'), 1, 512) AS t FROM documents WHERE regexp_matches(substr(text, 1, 120), '^[\\x00-\\x7F]*$')),
+_HASH_SQL = """WITH d AS (SELECT doc_id, substr(regexp_replace(regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), '[^a-z0-9_ .\\-/]', '', 'g'), 1, 512) AS t FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')),
 w AS (SELECT doc_id, concat('w:', x) AS f, 2.0 AS v FROM (SELECT doc_id, unnest(string_split(t, ' ')) AS x FROM d) WHERE length(x) > 1),
 g AS (SELECT doc_id, n, substr(concat(' ', t, ' '), CAST(i AS BIGINT), n) AS x FROM (SELECT doc_id, t, n, unnest(range(1, length(t) + 3)) AS i FROM d, (VALUES (3), (4), (5)) AS s(n))),
 f AS (SELECT * FROM w UNION ALL SELECT doc_id, concat('c:', x), 1.0 FROM g WHERE length(x) = n AND trim(x) <> ''),
@@ -319,7 +319,7 @@ SELECT doc_id, CAST(b AS INTEGER) AS bucket, round(v, 6) AS value FROM s WHERE v
 
 @query(_HASH_SQL)
 def hash_embedding(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 120).alias("t")).where(F.col("t").rlike(r"^[\x00-\x7F]*$"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")).where(F.col("t").rlike(r"^[\x00-\x7F]*$"))
     rows = V.hashed(docs, "doc_id", "t").select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
     return rows.where("value <> 0").select("doc_id", "bucket", F.round("value", 6).alias("value"))
 
@@ -404,14 +404,23 @@ def quality_verdict(spark, sf_dir):
 
 _SNIP = """WITH p AS (SELECT doc_id, query_id, text, lower(text) AS t, lower(query) AS q FROM documents, {q}),
 a AS (SELECT *, CASE WHEN contains(t, q) THEN q ELSE list_filter(string_split(q, ' '), lambda w: length(w) > 3 AND contains(t, w))[1] END AS word FROM p),
-b AS (SELECT *, strpos(t, word) AS pos FROM a WHERE word IS NOT NULL)
-SELECT doc_id, query_id, trim(regexp_replace(substr(text, CAST(greatest(pos - 100, 1) AS BIGINT), CAST(pos + length(word) + 100 - greatest(pos - 100, 1) AS BIGINT)), '\\s+', ' ', 'g')) AS snippet FROM b"""
+b AS (SELECT *, strpos(t, word) AS pos FROM a WHERE word IS NOT NULL),
+c AS (SELECT doc_id, query_id, trim(regexp_replace(substr(text, CAST(greatest(pos - 160, 1) AS BIGINT), CAST(pos + length(word) + 160 - greatest(pos - 160, 1) AS BIGINT)), '\\s+', ' ', 'g')) AS flat FROM b)
+SELECT doc_id, query_id, CASE WHEN length(flat) <= 300 THEN flat ELSE concat(rtrim(regexp_extract(substr(flat, 1, 298), '^(.*)\\s', 1)), '...') END AS snippet FROM c"""
 
 
 @query(_SNIP.format(q=_Q))
 def keyword_snippet(spark, sf_dir):
     pairs = table(spark, sf_dir, "documents").crossJoin(asked(spark))
-    return pairs.select("doc_id", "query_id", T.snippet(F.col("text"), F.col("query"), 600, 100).alias("snippet")).where(F.length("snippet") > 0)
+    return pairs.select("doc_id", "query_id", T.snippet(F.col("text"), F.col("query")).alias("snippet")).where(F.length("snippet") > 0)
+
+
+@query(f"""WITH s AS (SELECT doc_id, query_id, snippet FROM ({_SNIP.format(q=_Q)})), d AS (SELECT doc_id, query_id, headings, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS flat FROM {_DOC_SQL}, {_Q})
+SELECT doc_id, query_id, trim(concat('[', headings[1], '] ', coalesce(nullif(snippet, ''), CASE WHEN length(flat) <= 180 THEN flat ELSE concat(rtrim(regexp_extract(substr(flat, 1, 178), '^(.*)\\s', 1)), '...') END))) AS excerpt FROM d LEFT JOIN s USING (doc_id, query_id)""")
+def semantic_excerpt(spark, sf_dir):
+    c = F.col
+    pairs = searchable(spark, sf_dir).crossJoin(asked(spark))
+    return pairs.select("doc_id", "query_id", T.excerpt(c("headings"), c("context"), c("content"), c("query")).alias("excerpt"))
 
 
 @query(f"""WITH h AS (SELECT DISTINCT query_id, doc_id FROM ({_SNIP.format(q=_Q)})), r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h WHERE query_id <> 3)
@@ -439,7 +448,11 @@ def lexical_backstop(spark, sf_dir):
     return S.backstop(asked(spark, (*ASKED, (5, "src3 external"))), search_index(spark, sf_dir), 5).select("query_id", "uri", "rank")
 
 
-@query()
+@query(f"""WITH h AS (SELECT DISTINCT query_id, doc_id FROM ({_SNIP.format(q=_Q)})),
+s AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h WHERE doc_id % 5 = 0) WHERE rank <= 2),
+u AS (SELECT query_id, doc_id, n + row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h JOIN (SELECT query_id, max(rank) AS n FROM s GROUP BY query_id) USING (query_id) ANTI JOIN s USING (query_id, doc_id)),
+a AS (SELECT *, 'fused' AS method FROM s UNION ALL SELECT *, 'augmented' FROM u WHERE rank <= 5)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, concat('local://', source, '/doc', doc_id) AS uri, method FROM a JOIN documents USING (doc_id)""")
 def forge_augment(spark, sf_dir):
     hits = S.snippets(asked(spark), search_index(spark, sf_dir))
     some = hits.where("seq % 5 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("seq"))).where("rank <= 2")
@@ -447,10 +460,12 @@ def forge_augment(spark, sf_dir):
     return S._augment(found, hits, 5).select("query_id", "rank", "uri", "method")
 
 
-@query()
+@query(f"""WITH h AS (SELECT DISTINCT query_id, doc_id FROM ({_SNIP.format(q=_Q)})),
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM h)
+SELECT query_id, string_agg(concat('[', title, ']', chr(10), substr(content, 1, 1200)), chr(10) || chr(10) ORDER BY rank) AS prompt FROM r JOIN {_DOC_SQL} USING (doc_id) WHERE rank <= 5 GROUP BY query_id""")
 def rag_prompt(spark, sf_dir):
     ix = search_index(spark, sf_dir)
-    return S.prompt(S.search(asked(spark), ix, "keyword"), ix.docs)
+    return S.prompt(S.search(asked(spark), ix, "keyword").where("method = 'keyword'"), ix.docs)
 
 
 @query()

@@ -1,8 +1,10 @@
 """Expected values worked out by hand from the rules of the formats, not from the code."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import vectors as V
 from tessera.operators import ingest, knn, usage
 from tessera.plans import search as S
 from tessera.sources import notes, parsers
@@ -99,3 +101,27 @@ def test_queries_in_slices(spark, sf_dir, monkeypatch):
     whole = found()
     monkeypatch.setattr(knn, "SLICE", 25)
     assert found() == whole and len(whole) == 180
+
+
+def test_hashing_of_whole_texts_in_any_script(spark, sf_dir):
+    """Every document, against a plain reading of the rules: lower case, single blanks, letters of any script, 512 characters."""
+    import hashlib
+    import math
+    import re
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).collect() + [(-1, "  Größe  ÉTÉ, naïve—test  "), (-2, ""), (-3, None)]
+    found = {r.doc_id: r.embedding for r in V.hashed(spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string"), "doc_id", "text").collect()}
+    for key, text in rows:
+        t = re.sub(r"[^\w\s.\-_/]", "", re.sub(r"\s+", " ", (text or "").strip().lower()))[:512]
+        v = [0.0] * V.DIMENSIONS
+        grams = [("c:" + f" {t} "[i : i + n], 1.0) for n in (3, 4, 5) for i in range(len(t) + 3 - n)]
+        for f, w in [("w:" + x, 2.0) for x in t.split(" ") if len(x) > 1] + [g for g in grams if g[0][2:].strip(" ")]:
+            d = hashlib.sha256(f.encode()).digest()
+            v[int.from_bytes(d[:4], "big") % V.DIMENSIONS] += -w if int.from_bytes(d[4:8], "big") % 2 else w
+        size = math.sqrt(sum(x * x for x in v))
+        assert found[key] == pytest.approx([x / size if size > 1e-10 else x for x in v], abs=1e-9), text
+
+
+def test_uptime_by_hand(spark):
+    rows = spark.createDataFrame([(59.9,), (61.0,), (3600.0,), (90061.0,)], "s double").select(T.uptime(F.col("s")).alias("u")).collect()
+    assert [r.u for r in rows] == ["59s", "1m 1s", "1h 0m 0s", "1d 1h 1m 1s"]

@@ -12,18 +12,18 @@ from ..functions import text as T
 from ..functions import udf
 
 
-def windows(df: DataFrame, key: str, content: str, size: int = 800, overlap: int = 120) -> DataFrame:
-    """key, idx (from 0), start, end, text: windows of `size` characters that overlap; the last ends with the text."""
+def windows(df: DataFrame, key: str, content: str, size: int = 800, overlap: int = 120, *carried: str) -> DataFrame:
+    """key, idx (from 0), start, end, text and the carried columns: windows of `size` characters that overlap; the last ends with the text."""
     n, stride = F.length(content), size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(stride))
-    rows = df.where(F.length(content) > 0).select(key, content, F.posexplode(starts).alias("idx", "start"))
+    rows = df.where(F.length(content) > 0).select(key, content, *carried, F.posexplode(starts).alias("idx", "start"))
     end = F.least(n, F.col("start") + size)
-    return rows.select(key, F.col("idx").cast("long").alias("idx"), F.col("start").cast("long").alias("start"), end.cast("long").alias("end"), F.substring(F.col(content), F.col("start") + 1, F.lit(size)).alias("text"))
+    return rows.select(key, F.col("idx").cast("long").alias("idx"), F.col("start").cast("long").alias("start"), end.cast("long").alias("end"), F.substring(F.col(content), F.col("start") + 1, F.lit(size)).alias("text"), *carried)
 
 
 def atoms(df: DataFrame, key: str, uri: str, content: str, size: int = 800, overlap: int = 120, least: int = 80) -> DataFrame:
     """The windows of at least `least` characters of text, with URIs numbered from 1 before the short ones go."""
-    out = windows(df, key, content, size, overlap).join(df.select(key, F.col(uri).alias("_uri")), key)
+    out = windows(df.withColumn("_uri", F.col(uri)), key, content, size, overlap, "_uri")
     return out.where(F.length(T.strip(F.col("text"))) >= least).select(key, "idx", "start", "end", "text", T.chunk_uri(F.col("_uri"), F.col("idx") + 1).alias("uri"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,12 +57,27 @@ def upsert_store(new: DataFrame, path: str, keys: list[str], version: str) -> Da
     spark = new.sparkSession
     touched = [r.store for r in new.select("store").distinct().collect()]
     merged = ingest.upsert(read_store(spark, path).where(F.col("store").isin(touched)), new, keys, version)
-    scratch = f"{path.rstrip('/')}-next"
-    merged.write.mode("overwrite").parquet(scratch)  # a table cannot be written while it is read
+    scratch = f"{path.rstrip('/')}-next-{uuid.uuid4().hex}"  # a table cannot be written while it is read
+    merged.write.parquet(scratch)
     write_store(spark.read.parquet(scratch), path)
+    _delete(spark, scratch)
     return read_store(spark, path)
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def delete_store(spark: SparkSession, store: str, tables: list[str], snapshot: str | None = None) -> int:
+    """Deletes a store everywhere: its partition of every table (documents, chunks, vectors; each written by store) and its snapshot.
+
+    Returns how many of these there were; nothing of other stores is read or written, and a second call finds nothing.
+    """
+    name = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(store)
+    return sum(_delete(spark, path) for path in [*(f"{t.rstrip('/')}/store={name}" for t in tables), *([snapshot] if snapshot else [])])
+
+
 def export_snapshot(docs: DataFrame, atoms: DataFrame, store: str, saved_at: str) -> DataFrame:
     """One JSON row of a store, as text."""
     d = docs.agg(F.sort_array(F.collect_list(F.struct("seq", "title", "uri", "content"))).alias("d"), F.count("*").alias("doc_count"))

@@ -10,6 +10,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..plans.stored import folder
 
 LATE = "1 day"
 
@@ -57,11 +60,25 @@ def cooled_alerts(candidates: DataFrame, seconds: int = 3600) -> DataFrame:
     return rows.groupBy("api_key", "kind").applyInPandasWithState(run, "api_key string, kind string, ts timestamp_ntz, pct double", "last long", "append", "NoTimeout")
 
 
+def recorded(stream: DataFrame, path: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
+    """Appends a stream of usage records or alerts (with ts) to a table by day; each record once, also over restarts."""
+    by_day = stream.withColumn("day", F.to_date("ts"))
+    return by_day.writeStream.format("parquet").partitionBy("day").option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start(path)
+
+
+def record(records: DataFrame, path: str) -> None:
+    """As recorded(), of a batch."""
+    records.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def drained(spark: SparkSession, source: DataFrame, plan: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """Runs a plan over what a streaming source holds now and returns the result as a table."""
-    import uuid
+    """Runs a plan over what a streaming source holds now; its result as a table in the shared folder."""
+    out, path = plan(source), folder(spark, "drained")
+    spark.createDataFrame([], out.schema).write.parquet(path)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
-    name = f"drained_{uuid.uuid4().hex}"
-    query = plan(source).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    query = out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", folder(spark, "drained-state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import ingest
 from ..sources import store
 
+REMEMBERED = "30 days"
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -20,8 +21,10 @@ def new_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def keyed(files: DataFrame) -> DataFrame:
-    """path, size and digest of a stream of files, each content once."""
-    return files.select("path", F.col("length").alias("size"), F.sha1(F.substring("content", 1, 1 << 20)).alias("digest")).dropDuplicates(["path", "size", "digest"])
+    """path, size and digest of a stream of files, each content once. What was seen is forgotten after REMEMBERED of file time, so state has an end."""
+    timed = files.withWatermark("modificationTime", REMEMBERED)
+    rows = timed.select("modificationTime", "path", F.col("length").alias("size"), F.sha1(F.substring("content", 1, 1 << 20)).alias("digest"))
+    return rows.dropDuplicatesWithinWatermark(["path", "size", "digest"]).select("path", "size", "digest")
 
 
 def watch(spark: SparkSession, path: str, handle: Callable[[DataFrame], None], failed: str, checkpoint: str, every: str = "5 seconds") -> StreamingQuery:

@@ -7,7 +7,8 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import ingest, knn, usage
 from tessera.plans import search as S
-from tessera.sources import notes, parsers
+from tessera.sources import notes, parsers, store
+from tessera.streaming import usage as stream
 
 
 def test_vtt_by_hand():
@@ -125,3 +126,25 @@ def test_hashing_of_whole_texts_in_any_script(spark, sf_dir):
 def test_uptime_by_hand(spark):
     rows = spark.createDataFrame([(59.9,), (61.0,), (3600.0,), (90061.0,)], "s double").select(T.uptime(F.col("s")).alias("u")).collect()
     assert [r.u for r in rows] == ["59s", "1m 1s", "1h 0m 0s", "1d 1h 1m 1s"]
+
+
+def test_store_goes_everywhere(spark, tmp_path):
+    rows = spark.createDataFrame([("a b", 1), ("c", 2)], "store string, v int")
+    for name in ("docs", "chunks"):
+        store.write_store(rows, str(tmp_path / name))
+    (tmp_path / "snap.json").write_text("{}")
+    gone = ["a b", [str(tmp_path / "docs"), str(tmp_path / "chunks")], str(tmp_path / "snap.json")]
+    assert store.delete_store(spark, *gone) == 3 and store.delete_store(spark, *gone) == 0
+    assert [r.store for r in store.read_store(spark, str(tmp_path / "docs")).collect()] == ["c"] and not (tmp_path / "snap.json").exists()
+
+
+def test_usage_is_recorded_once(spark, tmp_path):
+    rows = spark.createDataFrame([("k", "2024-01-01 10:00:00"), ("k", "2024-01-02 10:00:00")], "api_key string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        query = stream.recorded(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), "1 second")
+        query.processAllAvailable()
+        query.stop()
+    stream.record(rows.limit(1), str(tmp_path / "out2"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and spark.read.parquet(str(tmp_path / "out2")).count() == 1
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("day=")) == ["day=2024-01-01", "day=2024-01-02"]

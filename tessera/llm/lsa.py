@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, scan, summed, tokenised, unblob, within
+from .common import mapped, mix, scan, summed, tokenised, unblob, within
 
 HALF = 16
 BUCKETS = 1 << 15
@@ -357,5 +357,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     kept = docs
     for space in fit(words, benchmark):
-        kept = kept.mapInArrow(over(docs.sparkSession.sparkContext.broadcast(space)), docs.schema)
+        kept = mapped(kept, over(docs.sparkSession.sparkContext.broadcast(space)))
     return kept

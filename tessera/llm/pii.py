@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Cues of secrets: what follows a separator is one. Blanks, hyphens and underscores inside a cue are alike, or absent.
 SECRETS = ("token", "secret", "password", "passwd", "passphrase", "pwd", "passwort", "contraseña", "mot de passe", "api key", "access key", "private key", "auth key", "credential")
 #: Cues of numbers that have no form of their own.
@@ -316,5 +318,5 @@ def redacted(docs: DataFrame) -> DataFrame:
             columns[at] = _scan(columns[at])[0]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = mapped(docs, run)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

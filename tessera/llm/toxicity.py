@@ -37,6 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 INSULTS = (
     "idiot idiots idiotic moron morons moronic scum loser losers clown clowns trash stupid worthless pathetic disgusting imbecile imbeciles "
     "dumb dumbass asshole assholes bastard bastards bitch jerk jerks fool fools vermin filth filthy subhuman pig pigs"
@@ -316,4 +318,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame | None = None, threshold: floa
                 keep[i] = score(found) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)

@@ -10,6 +10,7 @@ from ..functions import vectors as V
 from ..operators import index, knn, learner, rank
 from . import search as S
 from .catalog import query, table
+from .stored import spread
 
 ASKED = ((1, "the of blent"), (2, "La de Größe the the"), (3, "zzzabsent"), (4, "and that reing thing"))
 _Q = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") AS q(query_id, query)"
@@ -51,12 +52,12 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 @query(_bm25_sql("text", _Q, 10))
 def bm25_topk(spark, sf_dir):
-    return _ranked(index.bm25_top(table(spark, sf_dir, "documents"), asked(spark), "doc_id", "text", 10))
+    return _ranked(index.bm25_top(spread(table(spark, sf_dir, "documents")), asked(spark), "doc_id", "text", 10))
 
 
 @query(_bm25_sql("text", _BATCH, 10))
 def bm25_topk_batch(spark, sf_dir):
-    return _ranked(index.bm25_top(table(spark, sf_dir, "documents"), asked_of_benchmark(spark, sf_dir), "doc_id", "text", 10))
+    return _ranked(index.bm25_top(spread(table(spark, sf_dir, "documents")), asked_of_benchmark(spark, sf_dir), "doc_id", "text", 10))
 
 
 #: documents as search sees them: title of the first three words, one heading, one tag, one link, a path in a folder.
@@ -411,7 +412,7 @@ SELECT doc_id, query_id, CASE WHEN length(flat) <= 300 THEN flat ELSE concat(rtr
 
 @query(_SNIP.format(q=_Q))
 def keyword_snippet(spark, sf_dir):
-    pairs = table(spark, sf_dir, "documents").crossJoin(asked(spark))
+    pairs = spread(table(spark, sf_dir, "documents")).crossJoin(asked(spark))
     return pairs.select("doc_id", "query_id", T.snippet(F.col("text"), F.col("query")).alias("snippet")).where(F.length("snippet") > 0)
 
 

@@ -136,11 +136,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives the loss of executors."""
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """df written as Parquet (with the options given) in the shared folder and read again: cuts lineage, survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

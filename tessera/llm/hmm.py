@@ -3,7 +3,8 @@
 The model has `states` latent states and an emission probability of its own for every word of the corpus (words are told apart
 by 64-bit hashes; a model given `buckets` folds them, for comparison). The vocabulary is never held in one place:
 
-1. Documents are laid into blocks of about BLOCK words, each with the list of its distinct words.
+1. Documents are laid into blocks of about BLOCK words, each with the list of its distinct words. A block lies and travels in rows of
+   SLICE words, packed, so the JVM, which copies whole rows at every step, never has a large one; Python puts a block together.
 2. A block runs the forward and backward recursions over all its words (one matrix step for all documents that are still
    running) and sends its expected counts keyed by word to the word's part; the number of parts follows from the number of words.
 3. A part adds up the counts of its words over all blocks and sends the sums back to the blocks that hold the words.
@@ -35,6 +36,12 @@ STATES = 8
 ITERATIONS = 3
 #: Words of a block, and words (counted once for each block that holds them) of a part.
 BLOCK, PART = 4_000_000, 500_000
+#: Words of a row of a block; its cells stay below half a region of a small heap, from where on the JVM sets memory aside for each.
+SLICE = 1 << 17
+#: Bytes of an Arrow batch; the JVM sets aside memory outside its heap for each, which it gives back late or never.
+BATCH = 1 << 20
+#: The cells are packed already, so Parquet neither compresses them nor gathers 100 rows, its default, before it looks at a page's size.
+PAGES = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.page.size.check.estimate": "false"}
 #: Words whose forward probabilities are held at once.
 STRETCH = 600_000
 CHUNK = 300_000
@@ -160,6 +167,11 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, n).T).reshape(-1).view(kind)
 
 
+def _cut(table: pa.Table) -> pa.Table:
+    """The same rows in batches of about BATCH bytes."""
+    return pa.Table.from_batches(table.to_batches(max_chunksize=max(1, len(table) * BATCH // max(1, table.nbytes))), table.schema)
+
+
 class Fitted(NamedTuple):
     """A model whose emissions lie in the shared folder: `sums` has the expected counts of each block's words, by block and part."""
 
@@ -184,70 +196,83 @@ def _block_rows(kind: str):
         number = TaskContext.get().partitionId() << 32
         held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def packed() -> pa.RecordBatch:
+        def packed() -> Iterator[pa.RecordBatch]:
             ids = pa.concat_arrays([x for x, *_ in held])
-            first = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n, *_ in held]))]).astype(np.int64)
+            lengths = np.concatenate([n for _, n, *_ in held]).astype(np.int64)
             words, place = np.unique(np.concatenate([w for _, _, w, _ in held]), return_inverse=True)
             place = np.split(place.astype(np.uint32), np.cumsum([len(w) for _, _, w, _ in held])[:-1])
             obs = np.concatenate([p[x] for p, (*_, x) in zip(place, held)])
             n = np.bincount(obs, minlength=len(words))
-            # Frequent words get small numbers, so the upper halves are nearly all 0 and pack well.
+            # Frequent words get small numbers, so the upper bytes are nearly all 0 and pack well.
             order = np.argsort(-n, kind="stable")
             rank = np.empty(len(order), dtype=np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            obs = rank[obs]
-            cells = [words[order], first, (obs & np.uint32(0xFFFF)).astype(np.uint16), (obs >> np.uint32(16)).astype(np.uint16)]
-            columns = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in cells)]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "vocabulary", "first", "low", "high"])
+            obs, words = rank[obs], words[order]
+            pieces = max(1, -(-max(len(obs), len(ids)) // SLICE))
+            at = 0
+            for i, (w, n, x) in enumerate(zip(*(np.array_split(x, pieces) for x in (words, lengths, obs)))):
+                own = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), ids.slice(at, len(n)))
+                at += len(n)
+                columns = [pa.array([number], pa.int64()), pa.array([i], pa.int32()), own, *(pa.array([x], pa.binary()) for x in (w.tobytes(), _pack(n), _pack(x)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "piece", "ids", "vocabulary", "lengths", "words"])
 
         for batch in batches:
             for lo, hi, words in scan(batch.column(1)):
                 own, place = np.unique(words.hash, return_inverse=True)
                 held.append((batch.column(0).slice(lo, hi - lo), np.diff(words.first), own, place.astype(np.uint32)))
                 if sum(len(x) for *_, x in held) >= BLOCK:
-                    yield packed()
+                    yield from packed()
                     number, held[:] = number + 1, []
         if held:
-            yield packed()
+            yield from packed()
 
-    return run, f"block long, ids array<{kind}>, vocabulary binary, first binary, low binary, high binary"
+    return run, f"block long, piece int, ids array<{kind}>, vocabulary binary, lengths binary, words binary"
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """The documents in blocks, in the shared folder: doc_ids, distinct words, and the words as numbers of these."""
-    return stored(docs.select("doc_id", "text").mapInArrow(*_block_rows(docs.schema["doc_id"].dataType.simpleString())), "blocks")
+    """The documents in blocks, in the shared folder: doc_ids, distinct words, and the words as numbers of these, each block in pieces."""
+    return stored(docs.select("doc_id", "text").mapInArrow(*_block_rows(docs.schema["doc_id"].dataType.simpleString())), "blocks", PAGES)
 
 
 class _Block(NamedTuple):
     number: int
+    ids: pa.Array
     obs: np.ndarray  # numbers of keys
     first: np.ndarray
     keys: np.ndarray  # distinct words, by part
     cuts: np.ndarray  # where each part begins and ends
 
 
-def _block(row: pa.Table | pa.RecordBatch, i: int, buckets: int, parts: int) -> _Block:
-    get = lambda name, kind: np.frombuffer(row.column(name)[i].as_py(), dtype=kind)
-    words = get("vocabulary", np.uint64)
+def _by_part(words: np.ndarray, buckets: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of words by part, where each part begins and ends, and the place of each word's key."""
     keys, number = np.unique(words % np.uint64(buckets) if buckets else words, return_inverse=True)
     part = (keys % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     place = np.empty(len(order), dtype=np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
-    obs = place[number][get("low", np.uint16).astype(np.uint32) | (get("high", np.uint16).astype(np.uint32) << np.uint32(16))]
-    return _Block(row.column("block")[i].as_py(), obs, get("first", np.int64), keys[order], np.searchsorted(part[order], np.arange(parts + 1)))
+    return keys[order], np.searchsorted(part[order], np.arange(parts + 1)), place[number]
+
+
+def _block(rows: pa.Table, buckets: int, parts: int) -> _Block:
+    """A block from its pieces, which come in any order."""
+    order = np.argsort(rows.column("piece").to_numpy())
+    each = lambda name: (rows.column(name)[i] for i in order.tolist())
+    keys, cuts, place = _by_part(np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in each("vocabulary")]), buckets, parts)
+    obs = np.concatenate([place[_unpack(x.as_py(), np.uint32)] for x in each("words")])
+    lengths = np.concatenate([_unpack(x.as_py(), np.int64) for x in each("lengths")])
+    return _Block(rows.column("block")[0].as_py(), pa.concat_arrays([x.values for x in each("ids")]), obs, np.concatenate([[0], np.cumsum(lengths)]), keys, cuts)
 
 
 _SENT, _SUMS = "part long, block long, words binary, counts binary", "block long, part long, sums binary"
 
 
-def _sent(b: _Block, counts: np.ndarray, stats: np.ndarray | None) -> pa.Table:
+def _sent(block: int, keys: np.ndarray, cuts: np.ndarray, counts: np.ndarray, stats: np.ndarray | None) -> pa.Table:
     """A block's counts (words, K) by part, and at part -1 what else it adds up."""
-    at = np.flatnonzero(np.diff(b.cuts))
-    rows = [(int(p), _pack(b.keys[b.cuts[p] : b.cuts[p + 1]]), _pack(counts[b.cuts[p] : b.cuts[p + 1]].astype(np.float32))) for p in at]
+    at = np.flatnonzero(np.diff(cuts))
+    rows = [(int(p), _pack(keys[cuts[p] : cuts[p + 1]]), _pack(counts[cuts[p] : cuts[p + 1]].astype(np.float32))) for p in at]
     if stats is not None:
         rows.append((-1, b"", stats.tobytes()))
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([b.number] * len(rows), pa.int64()), "words": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+    return _cut(pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "words": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())}))
 
 
 def _add(k: int):
@@ -264,7 +289,7 @@ def _add(k: int):
             sums = np.stack([np.bincount(where, flat[:, j], minlength=len(keys)) for j in range(k)], axis=1) + SMOOTH
             back = np.split(sums.astype(np.float32)[where], np.cumsum([len(x) for x in each])[:-1])
             rows = [(b.as_py(), _pack(x)) for b, x in zip(table.column("block"), back)] + [(-1, sums.sum(axis=0).tobytes())]
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), "sums": pa.array([r[1] for r in rows], pa.binary())})
+        return _cut(pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), "sums": pa.array([r[1] for r in rows], pa.binary())}))
 
     return run
 
@@ -294,16 +319,10 @@ def _emissions(b: _Block, m: Fitted, sums: pa.Table | None, kind: type) -> np.nd
 
 
 def _over(words: DataFrame, m: Fitted, each, schema: str) -> DataFrame:
-    """each(row, i, sums) for every block, met by the sums of its words."""
+    """each(rows, sums) for every block, met by the sums of its words."""
     if m.sums is None:
-
-        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(len(batch)):
-                    yield from each(batch, i, None).to_batches()
-
-        return words.mapInArrow(alone, schema)
-    return words.groupBy("block").cogroup(m.sums.where("block >= 0").groupBy("block")).applyInArrow(lambda left, right: each(left, 0, right), schema)
+        return words.groupBy("block").applyInArrow(lambda rows: each(rows, None), schema)
+    return words.groupBy("block").cogroup(m.sums.where("block >= 0").groupBy("block")).applyInArrow(each, schema)
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -312,7 +331,7 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     before = conf.get(key, "false")
     conf.set(key, "true")
     try:
-        return stored(df, name)
+        return stored(df, name, PAGES)
     finally:
         conf.set(key, before)
 
@@ -337,10 +356,11 @@ def initial(words: DataFrame, states: int, buckets: int) -> Fitted:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                yield from _sent(_block(batch, i, buckets, parts), nothing, None).to_batches()
+            for block, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, cuts, _ = _by_part(np.frombuffer(words.as_py(), dtype=np.uint64), buckets, parts)
+                yield from _sent(block, keys, cuts, nothing, None).to_batches()
 
-    total, _ = _totals(words.mapInArrow(send, _SENT).groupBy("part").applyInArrow(_first_total(states), _SUMS))
+    total, _ = _totals(words.select("block", "vocabulary").mapInArrow(send, _SENT).groupBy("part").applyInArrow(_first_total(states), _SUMS))
     a = np.full((states, states), 0.5 / states) + 0.5 * np.eye(states)
     return Fitted(np.full(states, 1 / states), a, None, total, buckets, parts)
 
@@ -350,8 +370,8 @@ def iterate(words: DataFrame, m: Fitted) -> tuple[Fitted, float]:
     k = len(m.pi)
     plain = m._replace(sums=None)
 
-    def count(row: pa.Table, i: int, sums: pa.Table | None) -> pa.Table:
-        b = _block(row, i, plain.buckets, plain.parts)
+    def count(rows: pa.Table, sums: pa.Table | None) -> pa.Table:
+        b = _block(rows, plain.buckets, plain.parts)
         # Training needs no more than single precision; scores are computed in double.
         model = Model(plain.pi.astype(np.float32), plain.a.astype(np.float32), _emissions(b, plain, sums, np.float32))
         counts = np.zeros((k, len(b.keys)))
@@ -362,7 +382,7 @@ def iterate(words: DataFrame, m: Fitted) -> tuple[Fitted, float]:
                 x, s, ll = expected(model, b.obs[lay.source], lay, counts)
                 xi, starts, total = xi + x, starts + s, total + ll
         del model
-        return _sent(b, counts.T, np.concatenate([xi.ravel(), starts, [total]]))
+        return _sent(b.number, b.keys, b.cuts, counts.T, np.concatenate([xi.ravel(), starts, [total]]))
 
     counts = _kept(_over(words, m, count, _SENT), "counts")
     sums = _kept(counts.groupBy("part").applyInArrow(_add(k), _SUMS), "sums")
@@ -389,11 +409,10 @@ def train(words: DataFrame, states: int = STATES, iterations: int = ITERATIONS,
 def likelihood(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Exact log-likelihood of each sequence; 0.0 for empty ones."""
     out = np.zeros(len(first) - 1)
-    obs = (ids % max(1, len(m.e))).astype(np.int64)
     for row, begin, lengths in chunks(first):
         lay = lanes(begin, lengths)
         if len(lay.order):
-            scale, _ = forward(m, obs[lay.source], lay, None)
+            scale, _ = forward(m, ids[lay.source] % len(m.e), lay, None)
             out[row[lay.order]] = np.bincount(lay.lane, np.log(scale), minlength=len(lay.order))
     return out
 
@@ -401,11 +420,10 @@ def likelihood(m: Model, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 def score(words: DataFrame, m: Fitted) -> DataFrame:
     plain = m._replace(sums=None)
 
-    def run(row: pa.Table, i: int, sums: pa.Table | None) -> pa.Table:
-        b = _block(row, i, plain.buckets, plain.parts)
+    def run(rows: pa.Table, sums: pa.Table | None) -> pa.Table:
+        b = _block(rows, plain.buckets, plain.parts)
         found = likelihood(Model(plain.pi, plain.a, _emissions(b, plain, sums, np.float64)), b.obs, b.first)
-        ids = row.column("ids")[i].values
-        return pa.table({"doc_id": ids, "n_words": pa.array(np.diff(b.first)), "ll": pa.array(found)})
+        return pa.table({"doc_id": b.ids, "n_words": pa.array(np.diff(b.first)), "ll": pa.array(found)})
 
     kind = words.schema["ids"].dataType.elementType.simpleString()
     out = _over(words, m, run, f"doc_id {kind}, n_words long, ll double")

@@ -8,7 +8,7 @@ from tessera.operators import knn
 from tessera.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["knn_cosine", "knn_cosine_join", "knn_dot"])
+@pytest.mark.parametrize("name", ["knn_cosine", "knn_cosine_join", "knn_dot", "knn_per_label"])
 def test_no_pairs_in_the_plan(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CartesianProduct" not in plan

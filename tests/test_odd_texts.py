@@ -26,7 +26,7 @@ def odd(sf_dir, tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["vtt_to_text"])
+@pytest.mark.parametrize("name", ["index_build", "bm25_fielded", "vtt_to_text"])
 def test_odd_texts(spark, odd, name):
     path, duck = odd
     assert same(catalog.QUERIES[name](spark, path), duck, catalog.ORACLES[name])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,34 +89,19 @@ def chunk_markdown(s: str, most: int = 512, least: int = 64) -> list[tuple[list[
     return out
 
 
-@udf.pandas("array<struct<headings:array<string>,text:string>>")
-def _chunks(texts: pd.Series, most: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([[{"headings": h, "text": c} for h, c in chunk_markdown(s or "", m, k)] for s, m, k in zip(texts, most, least)])
-
-
-@udf.pandas("array<struct<headings:array<string>,text:string>>")
-def _sections(texts: pd.Series) -> pd.Series:
-    return pd.Series([[{"headings": h, "text": c} for h, c in sections(s or "")] for s in texts])
-
-
-@udf.pandas("array<string>")
-def _sentences(texts: pd.Series) -> pd.Series:
-    return pd.Series([split_sentences(s or "") for s in texts])
+_CHUNK = "headings array<string>, text string"
 
 
 def markdown(df: DataFrame, key: str, content: str, most: int = 512, least: int = 64) -> DataFrame:
-    rows = df.select(key, F.posexplode(_chunks(F.col(content), F.lit(most), F.lit(least))).alias("idx", "c"))
-    return rows.select(key, F.col("idx").cast("long").alias("idx"), "c.headings", "c.text")
+    return udf.exploded(df, key, content, _CHUNK, lambda s: [{"headings": h, "text": c} for h, c in chunk_markdown(s, most, least)])
 
 
 def heading_sections(df: DataFrame, key: str, content: str) -> DataFrame:
-    rows = df.select(key, F.posexplode(_sections(F.col(content))).alias("idx", "c"))
-    return rows.select(key, F.col("idx").cast("long").alias("idx"), "c.headings", "c.text")
+    return udf.exploded(df, key, content, _CHUNK, lambda s: [{"headings": h, "text": c} for h, c in sections(s)])
 
 
 def sentences(df: DataFrame, key: str, content: str) -> DataFrame:
-    rows = df.select(key, F.posexplode(_sentences(F.col(content))).alias("idx", "sentence"))
-    return rows.select(key, F.col("idx").cast("long").alias("idx"), "sentence")
+    return udf.exploded(df, key, content, "sentence string", lambda s: [{"sentence": x} for x in split_sentences(s)])
 
 
 def with_context(chunks: DataFrame, key: str, order: str, content: Column, reach: int = 1, most: int = 2000) -> DataFrame:

@@ -90,7 +90,7 @@ def inner_tags(text: str) -> list[str]:
     return _distinct(re.findall(r"(?<![/\w])#(\w[-\w/]*)", text))
 
 
-_CUT = "array<struct<headings:array<string>,start:int,end:int,text:string,tags:array<string>,links:array<string>,note_tags:array<string>,aliases:array<string>>>"
+_CUT = "headings array<string>, start int, end int, text string, tags array<string>, links array<string>, note_tags array<string>, aliases array<string>"
 
 
 def note_chunks(df: DataFrame, key: str, content: str, most: int = 256, least: int = 32, size: int = 1200, overlap: int = 160, window: int = 1) -> DataFrame:
@@ -100,21 +100,17 @@ def note_chunks(df: DataFrame, key: str, content: str, most: int = 256, least: i
     either side hold; tags are those of the note, then those of the chunk.
     """
 
-    @udf.pandas(_CUT)
-    def cut(texts: pd.Series) -> pd.Series:
-        out = []
-        for s in texts:
-            note, rows = parse_note(s or ""), []
-            for heads, c in chunk_markdown(note["body"], most, least):
-                spans = [(0, len(c))]
-                if len(c) > size:
-                    stride = size - overlap
-                    spans = [(a, min(len(c), a + size)) for a in range(0, max(1, len(c) - overlap), stride)]
-                rows += [{"headings": heads, "start": a, "end": b, "text": c[a:b], "tags": inner_tags(c[a:b]), "links": inner_links(c[a:b]), "note_tags": note["tags"], "aliases": note["aliases"]} for a, b in spans]
-            out.append(rows)
-        return pd.Series(out)
-
-    rows = df.select(key, F.posexplode(cut(F.col(content))).alias("idx", "c")).select(key, F.col("idx").cast("long").alias("idx"), "c.*")
+    def cut(s: str) -> list[dict]:
+        note, rows = parse_note(s), []
+        for heads, c in chunk_markdown(note["body"], most, least):
+            spans = [(0, len(c))]
+            if len(c) > size:
+                stride = size - overlap
+                spans = [(a, min(len(c), a + size)) for a in range(0, max(1, len(c) - overlap), stride)]
+            rows += [{"headings": heads, "start": a, "end": b, "text": c[a:b], "tags": inner_tags(c[a:b]), "links": inner_links(c[a:b]), "note_tags": note["tags"], "aliases": note["aliases"]} for a, b in spans]
+        return rows
+
+    rows = udf.exploded(df, key, content, _CUT, cut)
     rows = with_context(rows, key, "idx", F.concat_ws("\n", T.context_label(F.col("headings")), "text"), window)
 
     def part(label: str, values: Column, mark: str) -> Column:

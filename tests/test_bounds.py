@@ -87,3 +87,12 @@ def test_many_documents_of_one_content(spark):
     df = ingest.duplicates_of_existing(spark.createDataFrame(rows[1:], columns), spark.createDataFrame(rows[:1], columns))
     assert "Pandas" not in plan_of(df)
     assert {(r.uri, r.duplicate_of) for r in df.collect()} == {(f"u{i}", f"u{i % 3}") for i in range(3, 3000)}
+
+
+@pytest.mark.parametrize("name", ["exact_file_score", "keyword_snippet", "semantic_excerpt", "title_score"])
+def test_documents_are_read_once_for_all_queries(spark, sf_dir, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # below the documents, as at size
+    try:
+        assert "CartesianProduct" not in plan_of(catalog.QUERIES[name](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
